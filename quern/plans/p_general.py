@@ -107,7 +107,7 @@ p AS (
 """
 
 _TREE = """
-s AS (SELECT id, max_by(nullif(parent_id, ''), time_updated) AS p FROM agent_session WHERE id IS NOT NULL GROUP BY id),
+s AS (SELECT id, nullif(max_by(struct_pack(parent_id), time_updated).parent_id, '') AS p FROM agent_session WHERE id IS NOT NULL GROUP BY id),
 l AS (SELECT s.id, k.id AS p FROM s LEFT JOIN s k ON s.p = k.id),
 t AS (SELECT id, id AS root_id, 0 AS depth, id AS path FROM l WHERE p IS NULL
       UNION ALL SELECT l.id, t.root_id, t.depth + 1, t.path || '/' || l.id FROM l JOIN t ON l.p = t.id),
