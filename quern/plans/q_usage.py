@@ -11,13 +11,16 @@ from quern.sources.tables import events, lineitem, orders, table
 
 QUERIES, ORACLE, query = registry()
 
-CENT = F.round(F.col("value") * 100).cast("long")
-K = F.get_json_object("props", "$.k").cast("int")
 _E = "e AS (SELECT event_id, ts, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cost, CAST(props->>'$.k' AS INTEGER) AS k FROM events)"
 
 
+def usage_facts(e: DataFrame) -> DataFrame:
+    """Events as usage: cost in cents, k from the properties."""
+    return e.select("event_id", "ts", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cost"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select("event_id", "ts", "user_id", "event_type", CENT.alias("cost"), K.alias("k"))
+    return usage_facts(events(spark, d))
 
 
 def day(c) -> F.Column:
