@@ -136,6 +136,7 @@ class Table:
         states, order = {kernel0: 0}, [kernel0]
         self.action: list[dict] = []
         self.goto: list[dict] = []
+        self.chains: dict[tuple[int, int, str], int] = {}
         for kernel in order:
             items = set(kernel)
             for p, d in kernel:
@@ -203,6 +204,14 @@ class Table:
                         tail = {s}
         return follow
 
+    def chain(self, base: int, state: int, token: str) -> int:
+        """The state over base after all reductions by single symbols that follow on the token."""
+        while True:
+            a = self.action[state].get(token)
+            if a.__class__ is not int or a >= 0 or a == -1 or self.size[~a] != 1:
+                return state
+            state = self.goto[base][self.lhs[~a]]
+
     def advance(self, heads: list, token: str) -> list:
         """The stacks after token; none if it fits nowhere. A stack is (state, rest)."""
         action, goto, size, lhs = self.action, self.goto, self.size, self.lhs
@@ -249,18 +258,56 @@ def recognise(table: Table, tokens, insert: str | None = None) -> tuple[int, str
     """None if the (type, line, may_insert) tokens are a sentence, else the line and type of the first token that fits nowhere.
 
     insert: a terminal put in before a token with may_insert that fits nowhere.
+    While one stack lives it is followed without lists, and runs of reductions
+    by single symbols, whose end depends on two states and the token only, are
+    remembered.
     """
-    heads, line = [(0, None)], 1
+    action, goto, size, lhs, chains = table.action, table.goto, table.size, table.lhs, table.chains
+    node, heads, line = (0, None), None, 1
     for kind, line, may in tokens:
-        nxt = table.advance(heads, kind)
+        if heads is None:
+            cur = node
+            while True:
+                state = cur[0]
+                a = action[state].get(kind)
+                if a.__class__ is not int:
+                    break
+                if a >= 0:
+                    break
+                p = ~a
+                n = size[p]
+                if n == 1:
+                    base = cur[1]
+                    key = (base[0], state, kind)
+                    end = chains.get(key)
+                    if end is None:
+                        end = chains[key] = table.chain(base[0], state, kind)
+                    cur = (end, base)
+                else:
+                    while n:
+                        cur = cur[1]
+                        n -= 1
+                    cur = (goto[cur[0]][lhs[p]], cur)
+            if a.__class__ is int:
+                node = (a, cur)
+                continue
+            nxt = table.advance([cur], kind) if a is not None else []
+            before = [node]
+        else:
+            nxt = table.advance(heads, kind)
+            before = heads
         if not nxt and may and insert is not None:
-            again = table.advance(heads, insert)
+            again = table.advance(before, insert)
             nxt = again and table.advance(again, kind)
         if not nxt:
             return line, kind
-        heads = nxt
-    nxt = table.advance(heads, END)
+        if len(nxt) == 1:
+            node, heads = nxt[0], None
+        else:
+            heads = nxt
+    last = [node] if heads is None else heads
+    nxt = table.advance(last, END)
     if not nxt and insert is not None:
-        again = table.advance(heads, insert)
+        again = table.advance(last, insert)
         nxt = again and table.advance(again, END)
     return None if nxt else (line, END)
