@@ -67,15 +67,15 @@ def _ranges(categories: set[str]) -> str:
 _MARKS = _ranges({"Mn", "Mc", "Me"})
 _W = rf"[\w{_MARKS}{_INVISIBLE}]"
 _TOKEN = re.compile(
-    rf"""(?P<url>[A-Za-z][A-Za-z0-9+.\-]*://[^\s"”»」]*[^\s"”»」.,;:!?。，)\]])
-    |(?P<dotted>(?<!\w)(?:[^\W\d_]{{1,2}}\.){{2,}}(?!\w))
+    rf"""(?P<space>[ \t]+|\s+)
+    |(?P<url>(?:https?|ftp|file|ssh|git|s3|mailto):/?/?[^\s"”»」]*[^\s"”»」.,;:!?。，)\]])
+    |(?P<dotted>(?<!\w)(?:[A-ZА-ЯЁ]\.){{2,}}(?!\w))
     |(?P<day>(?<![\w.])[0-9]{{1,2}}\.(?=\s))
     |(?P<word>[^\W]{_W}*(?:[._/:@=&?\-'’]+(?=[a-zß-öø-ÿа-яё0-9_]){_W}+|['’](?=\w){_W}+)*)(?P<stop>\.(?!\.))?
     |(?P<ell>\.{{2,}}|…+)
     |(?P<full>[。！？।॥۔｡‼⁇⁈⁉]+)
     |(?P<strong>[!?؟]+)
     |(?P<dot>\.)
-    |(?P<space>\s+)
     |(?P<cont>[,;:，；：、،؛—–\-/|]+)
     |(?P<close>[)\]}}）】〉》’]+)
     |(?P<start>[¿¡]+)
@@ -101,7 +101,7 @@ CLASSES = (
     + [f"{q}{p}" for q in _QUOTES.values() for p in ("+", "-")]
 )
 CLASS = {name: i for i, name in enumerate(CLASSES)}
-_SPACE, _BREAK, _HEADING, _LIST = (CLASS[x] for x in ("space", "break", "head", "item"))
+_SPACE, _BREAK, _HEADING, _LIST, _DOT, _DAY = (CLASS[x] for x in ("space", "break", "head", "item", "dot", "dayN"))
 _DROPPED = {_HEADING, _LIST}
 _RESETS = {_BREAK, _HEADING, _LIST, *(CLASS[f"fence{k}{b}"] for k in "`~" for b in "bi")}
 _MARK_OF = {CLASS[f"{q}{p}"]: q for q in _QUOTES.values() for p in "+-"}
@@ -172,27 +172,29 @@ def tokens(text: str, offset: int = 0, line_start: bool = True, in_heading: bool
         for t in _TOKEN.finditer(text, at, body):
             kind = t.lastgroup
             a, b = t.span()
-            if kind == "space":
-                put(_SPACE, a, b)
-            elif kind in ("word", "stop"):
-                word = t["word"]
-                c, whole = _word_class(word, kind == "stop")
-                if kind == "stop" and not whole:
-                    put(c, a, b - 1)
-                    put(CLASS["dot"], b - 1, b)
-                else:
-                    put(c, a, b)
+            if kind == "word":
+                kinds.append(_word_class(t[0], False)[0])
+            elif kind == "stop":
+                c, whole = _word_class(text[a : b - 1], True)
+                kinds.append(c)
+                if not whole:
+                    starts.append(a + offset)
+                    ends.append(b - 1 + offset)
+                    kinds.append(_DOT)
+                    a = b - 1
             elif kind == "dotted":
                 low = t[0][:-1].lower()
-                put(CLASS[("never" if low in NEVER else "soft") + _case(t[0])], a, b)
-            elif kind == "day":
-                put(CLASS["dayN"], a, b)
-            elif kind == "url":
-                put(CLASS["word" + _case(t[0])], a, b)
+                kinds.append(CLASS[("never" if low in NEVER else "soft") + _case(t[0])])
             elif kind == "quote":
-                put(CLASS[_QUOTES[t[0]] + "-"], a, b)
+                kinds.append(CLASS[_QUOTES[t[0]] + "-"])
+            elif kind == "url":
+                kinds.append(CLASS["word" + _case(t[0])])
+            elif kind == "day":
+                kinds.append(_DAY)
             else:
-                put(CLASS[kind], a, b)
+                kinds.append(CLASS[kind])
+            starts.append(a + offset)
+            ends.append(b + offset)
         if body < end:
             put(_BREAK if in_heading else _SPACE, body, end)
         line_start, in_heading = body < end, in_heading and body == end
