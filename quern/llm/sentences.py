@@ -232,7 +232,7 @@ def marks_ahead(kinds: list[int]) -> tuple[bool, int]:
 _SPACED = {"dot": "dot_", "strong": "strong_", "ell": "ell_", "soft": "soft_", "qend": "qend_", "thai": "thai_", "numbered": "numbered_", "day": "day_", "т": "т_"}
 #: pending mark: classes of what follows (case letters, s: ¿¡ and opening marks, o: other signs) before which is cut.
 _CUTS = {
-    "dot": "UMOTHs", "dot_": "UMNOTHso", "strong": "UMOTHs", "strong_": "LUMNOTHso", "full": "LUMNOTHso", "ell": "UM", "ell_": "UMs", "soft_": "UMs", "numbered_": "UMs", "day_": "UNOTHso", "day": "", "qend": "UMNOTs", "qend_": "UMNOTso", "thai_": "T",
+    "dot": "UMOTHs", "dot_": "UMNOTHso", "strong": "UMOTHs", "strong_": "LUMNOTHso", "full": "LUMNOTHso", "ell": "UM", "ell_": "UMs", "soft": "UM", "soft_": "UMs", "numbered": "UM", "numbered_": "UMs", "day_": "UNOTHso", "day": "", "qend": "UMNOTs", "qend_": "UMNOTso", "thai_": "T",
 }
 _ENDS = {"dot", "strong", "full", "ell"}
 

@@ -324,6 +324,7 @@ def test_p9_suffix_array_and_bounds(codes, probes):
         ("См. рис. 3 и т. д. при А. Gallo. Почему?", ["См. рис. 3 и т. д. при А. Gallo.", "Почему?"]),
         ("a.\r\n\r\n```py\nx. Y. Z?\n\n# q\n```\nEnd. \n~~~\nopen. A", ["a.", "```py\nx. Y. Z?\n\n# q\n```", "End.", "~~~\nopen. A"]),
         ("It waits... and goes. logs, caches, etc. The end", ["It waits... and goes. logs, caches, etc.", "The end"]),
+        ("The answer is no.Dr. Bo left, logs, etc.Set it.", ["The answer is no.", "Dr. Bo left, logs, etc.", "Set it."]),
         ("##\n\n- \n", []), ("", []), (" \n\u3000\t", []), ("no mark at all", ["no mark at all"]),
     ],
 )
