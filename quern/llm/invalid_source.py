@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.partitioning import spread
+
 _SCHEMA = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("language", pa.string()), ("judged", pa.bool_()), ("line", pa.int32()), ("token", pa.string())])
 
 
@@ -38,7 +40,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verdicts(files: DataFrame) -> DataFrame:
     """project_id, path, language, judged, line, token: line and token of the first error, null for whole files."""
-    return files.select("project_id", "path", "language", "content").mapInArrow(_parse, "project_id string, path string, language string, judged boolean, line int, token string")
+    return spread(files.select("project_id", "path", "language", "content")).mapInArrow(_parse, "project_id string, path string, language string, judged boolean, line int, token string")
 
 
 def invalid_files(files: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.partitioning import spread
+
 MIN_WORDS = 12
 #: Words of test items in one block.
 BLOCK_WORDS = 200_000
@@ -206,6 +208,7 @@ def item_blocks(items: DataFrame, width: int, block_words: int) -> Iterator[list
 def leaks(docs: DataFrame, items: DataFrame, width: int = MIN_WORDS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, item_id, match_words) of each document and item that share width or more consecutive words."""
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    texts = spread(texts)
     found = [texts.mapInArrow(_searcher(block, width, shard_words), "doc_id long, item_id long, match_words int") for block in item_blocks(items, width, block_words)]
     if not found:
         return texts.limit(0).selectExpr("doc_id", "cast(null as long) item_id", "cast(null as int) match_words")

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.checkpoints import cut
+from quern.plans.partitioning import spread
 
 #: Rows of each label that the forest is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -167,7 +168,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(files: DataFrame) -> DataFrame:
     """One row per file and distinct text: project_id, path, mark, noticed, digest, shape and the features."""
-    return files.select("project_id", "path", "language", "node_count", "content").mapInArrow(_measure, _DDL)
+    return spread(files.select("project_id", "path", "language", "node_count", "content")).mapInArrow(_measure, _DDL)
 
 
 def score(rows: DataFrame) -> DataFrame:

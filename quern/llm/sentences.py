@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.checkpoints import cut as cut_lineage
+from quern.plans.partitioning import spread
 
 #: Characters of a text that one call goes through in one piece.
 CHUNK = 65_536
@@ -536,6 +537,6 @@ def _closings(rows: pd.DataFrame) -> pd.DataFrame:
 def sentences(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """(doc_id, char_start, char_end) of every sentence of docs(doc_id, text)."""
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    short = rows.filter(F.length("text") <= size).mapInArrow(_short, _OUT_DDL)
+    short = spread(rows.filter(F.length("text") <= size)).mapInArrow(_short, _OUT_DDL)
     long = rows.filter(F.length("text") > size)
     return short.unionByName(_long(long, size)) if not long.isEmpty() else short

@@ -21,6 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.plans.partitioning import spread
+
 #: Where the public vocabularies lie, and the one that is used.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
@@ -150,4 +152,4 @@ def _encoding(path: str, rows: int = 2000):
 
 def encode(docs: DataFrame, path: str = f"{TOKENIZER_DIR}/{VOCABULARY}") -> DataFrame:
     """(doc_id, ids) of docs(doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_encoding(path), "doc_id long, ids array<int>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(_encoding(path), "doc_id long, ids array<int>")
