@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.checkpoints import cut
+from quern.plans.checkpoints import cut, tidy
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -27,19 +27,27 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each node points at one other and none of those points on."""
+    if not e.groupBy("u").count().filter("count > 1").isEmpty():
+        return False
+    return e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links(u, v); component is the least node of it.
 
     Null ends are dropped, a self-link makes a component of one; links in any number and order.
     """
     links = links.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
-    nodes = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
-    edges = cut(links.filter("u <> v").select("u", "v"))
-    before = None
+    edges = links.filter("u <> v").select("u", "v")
     while True:
         edges = cut(_small_star(_large_star(edges)))
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
+        if _are_stars(edges):
             break
-        before = now
-    return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        tidy(edges.sparkSession)
+    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    linked = leaves.unionByName(centres)
+    alone = links.filter("u = v").select(F.col("u").alias("node")).distinct().join(linked.select("node"), "node", "left_anti")
+    return linked.unionByName(alone.select("node", F.col("node").alias("component")))

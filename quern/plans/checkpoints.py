@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and read on from there."""
     ensure_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of the files of frames that are no longer held.
+
+    Shuffle files and checkpoints go when the driver collects its garbage; a
+    loop over frames calls this so that they don't pile up on the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
