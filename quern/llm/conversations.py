@@ -1,9 +1,9 @@
 """Conversations from message rows (problem 4).
 
-Messages are nodes; reply links and the shared session link them, and a
-conversation is a connected component found by alternating large-star and
-small-star joins. A message without a session identifier so joins the
-conversation it replies to. Each conversation is then ordered and validated
+Messages and sessions are nodes; a message is linked to its session, and where
+it or the message it replies to lacks one, to that message. A conversation is
+a connected component found by alternating large-star and small-star joins, so
+messages without identifier join the conversation they reply to. Each conversation is then ordered and validated
 with aggregates per key only.
 
 Defined results: of repeated ids the row with the greatest version counts;
@@ -61,11 +61,13 @@ def conversations(messages: DataFrame, parts: DataFrame) -> tuple[DataFrame, Dat
     """
     base = latest_messages(messages).join(speaking_ids(parts).withColumn("id", F.col("mid")).select("id", F.lit(True).alias("speaks")), "id", "left").withColumn("speaks", F.coalesce("speaks", F.lit(False)))
     base = cut(base)
-    me = F.concat(F.lit("m:"), F.col("id"))
+    # A session's node sorts before its messages', so that it is the centre of their star from the first round on.
+    me = F.concat(F.lit("m"), F.col("id"))
     known = base.select(F.col("id").alias("parent"), F.col("session_id").alias("p_session"))
-    replies = base.filter(F.col("parent").isNotNull()).join(known, "parent").filter(F.coalesce(F.col("session_id") == F.col("p_session"), F.lit(True))).select(me.alias("u"), F.concat(F.lit("m:"), F.col("parent")).alias("v"))
-    shared = base.select(me.alias("u"), F.coalesce(F.concat(F.lit("s:"), F.col("session_id")), me).alias("v"))
-    label = components(shared.unionByName(replies)).filter(F.col("node").startswith("m:")).select(F.expr("substr(node, 3)").alias("id"), F.col("component").alias("conversation"))
+    unknown = F.col("session_id").isNull() | F.col("p_session").isNull()
+    replies = base.filter(F.col("parent").isNotNull()).select("id", "parent", "session_id").join(known, "parent").filter(unknown).select(me.alias("u"), F.concat(F.lit("m"), F.col("parent")).alias("v"))
+    shared = base.select(me.alias("u"), F.coalesce(F.concat(F.lit("a"), F.col("session_id")), me).alias("v"))
+    label = components(shared.unionByName(replies)).filter(F.col("node").startswith("m")).select(F.expr("substr(node, 2)").alias("id"), F.col("component").alias("conversation"))
     rows = cut(base.join(label, "id"))
 
     place = lambda p: F.struct(F.col(f"{p}t"), F.col(f"{p}id"))
