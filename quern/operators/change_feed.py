@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.checkpoints import cut
+
 SESSION, MESSAGE, PART = "session", "message", "part"
 
 
@@ -72,7 +74,7 @@ def fold_level(writes: DataFrame, tombs: DataFrame, key: list[str], parent: Data
 
 def apply_changes(events: DataFrame, payload: bool = False) -> DataFrame:
     """Records that exist after all changes: aggregate_id, kind, record_id, parent_id, last_seq[, payload]."""
-    ops = operations(events, payload)
+    ops = cut(operations(events, payload))
     extra = ["payload"] if payload else []
     is_op = lambda *names: F.col("op").isin(*names)
 
