@@ -171,9 +171,9 @@ def measured(files: DataFrame) -> DataFrame:
     return spread(files.select("project_id", "path", "language", "node_count", "content")).mapInArrow(_measure, _DDL)
 
 
-def score(rows: DataFrame) -> DataFrame:
-    """rows with score, the forest's probability that a file is machine-made."""
-    labelled = rows.withColumn("label", (F.col("noticed") | F.col("shape")).cast("double"))
+def score(rows: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """rows with score, the probability that a file is machine-made by a forest fitted on train (else on rows)."""
+    labelled = (rows if train is None else train).withColumn("label", (F.col("noticed") | F.col("shape")).cast("double"))
     sizes = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return rows.withColumn("score", F.col("shape").cast("double"))
