@@ -34,6 +34,8 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out",
     links = adjacency(edges, direction, kinds)
     if allowed is not None:
         links = links.join(allowed.select(F.col("id").alias("dst")), "dst", "left_semi")
+    if depth > 1:  # the links are read once per level
+        links = cut(links)
     none = F.lit(None).cast("string")
     seen = cut(starts.select("id").distinct().select("id", F.lit(0).alias("depth"), none.alias("parent"), none.alias("kind")))
     frontier = seen
@@ -63,6 +65,7 @@ def call_graph(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def impact_radius(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int, containers: list[str]) -> DataFrame:
     """id, depth of what depends on the starts; members of a container cost no depth."""
+    edges = cut(edges.select("source", "target", "kind"))
     back = adjacency(edges, "in")
     members = edges.filter("kind = 'contains'").join(nodes.filter(F.col("kind").isin(*containers)).select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("src"), F.col("target").alias("dst"))
 
@@ -104,7 +107,7 @@ def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, start: str, goal: str, limit: int = 16, kinds: list[str] | None = None) -> DataFrame:
     """step, id of a shortest directed path, empty if there is none within limit; of equal ones that of the least parents."""
     spark = edges.sparkSession
-    links = adjacency(edges, "out", kinds)
+    links = cut(adjacency(edges, "out", kinds))
     seen = cut(spark.createDataFrame([(start, 0, None)], "id string, depth int, parent string"))
     frontier, level, found = seen, 0, start == goal
     while not found and level < limit:

@@ -14,7 +14,8 @@ def ensure_dir(spark: SparkSession) -> None:
     if jsc.getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if shared is None and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-ckpt-"))
 
