@@ -219,3 +219,61 @@ def test_p6_cases(spark, text, want):
     df = spark.createDataFrame([("r", text, "clash"), ("r", text, "clash")], "id string, j string, parent_path string")
     assert rows(nested_records.flatten(df, "id", "j").select("parent_path", "child_path")) == want
     assert rows(nested_records.flatten(df.limit(0), "id", "j")) == set()
+
+
+def test_p3_random_feeds(spark):
+    """Many small random feeds in random order, one of them with a third of all rows, give what replaying them gives."""
+    import datetime
+    import random
+
+    r = random.Random(5)
+    t0 = datetime.datetime(2024, 1, 1)
+    feed = []
+    for a in range(240):
+        agg = f"s{a}"
+        length = 4000 if a == 0 else r.randrange(1, 45)
+        for k in range(length):
+            m, p = f"m{r.randrange(3 if a else 200)}", None
+            p = f"{m}p{r.randrange(2)}"
+            kind, data = r.choice(
+                [("session.created", {"info": {"id": agg}}), ("session.updated", {"info": {"x": 1}}), ("session.deleted", {"info": {"id": agg}})] * (1 if a else 0)
+                + [("message.updated", {"info": {"id": m}}), ("message.removed", {"messageID": m}), ("message.part.updated", {"part": {"id": p, "messageID": m}}), ("message.part.removed", {"messageID": m, "partID": p}), ("session.idle", {})] * 2
+            ) if k or a else ("session.created", {"info": {"id": agg}})
+            seq = k if r.random() < 0.9 else r.randrange(length)
+            feed.append({"id": f"e{len(feed)}", "aggregate_id": agg, "seq": seq, "type": f"{kind}.{r.choice('12')}", "data": json.dumps({"sessionID": agg, **data}), "received_at": t0 + datetime.timedelta(seconds=r.randrange(10**6), microseconds=len(feed))})
+    r.shuffle(feed)
+    df = spark.createDataFrame(feed, "id string, aggregate_id string, seq long, type string, data string, received_at timestamp").repartition(7)
+    assert rows(change_feed.apply_changes(df).select("aggregate_id", "record_id", "last_seq")) == brute_p3(feed)
+
+
+def test_p5_random_links(spark):
+    """Random links with loops, and a chain of 200, give what walking up from each node gives."""
+    import random
+
+    r = random.Random(6)
+    parent = {f"n{i}": r.choice([None, "", "gone", *[f"n{r.randrange(400)}" for _ in range(9)]]) for i in range(400)}
+    parent |= {f"c{i}": f"c{i - 1}" if i else None for i in range(200)}
+    df = spark.createDataFrame([(k, v, 1) for k, v in parent.items()], "id string, parent_id string, time_updated long")
+
+    def walk(n):
+        path = [n]
+        while (up := parent[path[-1]]) in parent:
+            if up in path:
+                return "on_cycle" if up == n else "below_cycle", "", -1, ""
+            path.append(up)
+        return "tree", path[-1], len(path) - 1, "/".join(reversed(path))
+
+    def state(n):
+        got = walk(n)
+        seen, at = set(), n
+        while parent[at] in parent and parent[at] not in seen:
+            at = parent[at]
+            seen.add(at)
+        return ("on_cycle", "", -1, "") if got[0] != "tree" and n in seen else got
+
+    nodes = hierarchy.nested_sets(hierarchy.latest_links(df)).collect()
+    assert {n.id: (n.state, n.root_id, n.depth, n.path) for n in nodes} == {n: state(n) for n in parent}
+    tree = [n for n in nodes if n.state == "tree"]
+    for n in tree:
+        below = {m.id for m in tree if m.root_id == n.root_id and n.lft < m.lft <= n.rgt}
+        assert below == {m.id for m in tree if m.path.startswith(n.path + "/")} and len(below) == n.descendants
