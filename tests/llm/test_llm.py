@@ -366,3 +366,38 @@ def test_p10_cases(spark):
     assert got.filter("doc_id = 5").count() == 20_000 and rows(got.filter("doc_id = 6")) == {(6, 0, 200_000)}
     assert rows(got.filter("doc_id < 5")) == {(d, a, b) for d in (3, 4) for a, b in ((0, 4), (5, 9))}
     assert rows(sentences.sentences(df.limit(0))) == set()
+
+
+def test_p4_random_sessions(spark):
+    """Random sessions, one with a third of all messages, give what checking them one by one gives."""
+    import random
+
+    r = random.Random(4)
+    messages, parts = [], []
+    for s in range(150):
+        users = []
+        for k in range(400 if s == 0 else r.randrange(0, 7)):
+            mid = f"m{len(messages)}"
+            clean = s == 0 or r.random() < 0.8
+            role = ("user" if k % 2 == 0 else "assistant") if clean else "user" if not users or r.random() < 0.4 else r.choice(["assistant"] * 12 + ["system"])
+            data = {"role": r.choice([role, role.upper(), f" {role}"])}
+            if role == "assistant":
+                data["parentID"] = users[-1] if clean and users else r.choice(users[-2:] + ["gone"])
+                if not clean and r.random() < 0.3:
+                    data["error"] = r.choice([None, {}])
+            else:
+                users.append(mid)
+            text = json.dumps(data) if clean or r.random() < 0.9 else json.dumps(data)[:-2]
+            for version in range(r.choice([1, 1, 2])):
+                messages.append({"id": mid, "session_id": f"s{s}", "time_created": k if clean else k // 2, "time_updated": version, "data": text})
+            for p in range(r.choice([1, 1, 1, 2]) if clean or r.random() < 0.9 else 0):
+                odd = 0 if clean else 1
+                body = {"type": r.choice(["text"] * 4 + ["tool"] * odd), "text": r.choice(["hi"] * 4 + [" ​"] * odd), **r.choice([{}] * 4 + [{"synthetic": True}] * odd)}
+                parts.append({"id": f"{mid}p{p}", "message_id": mid, "session_id": f"s{s}", "time_created": k, "time_updated": 1, "data": json.dumps(body)})
+    sessions = [{"id": f"s{s}"} for s in range(150) if s % 9 or s == 0]
+    ddl = "id string, session_id string, time_created long, time_updated long, data string"
+    m = spark.createDataFrame(messages, ddl).repartition(5)
+    p = spark.createDataFrame(parts, "id string, message_id string, session_id string, time_created long, time_updated long, data string")
+    got = rows(conversations.kept_turns(m, p, spark.createDataFrame(sessions, "id string")).select("session_id", "turn_no", "message_id"))
+    want = brute_p4(messages, parts, sessions)
+    assert got == want and len({x[0] for x in want}) > 20
