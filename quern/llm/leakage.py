@@ -3,8 +3,8 @@
 The corpus is cut into shards of whole documents; each shard gets a suffix
 array over its words (prefix doubling), in which every suffix of every test
 item is found by binary search: the range of corpus suffixes that begin with
-its first MIN_WORDS words. Neighbours of the range's ends give the longest
-verbatim match. Words that no test item has cannot be in a match, so shards
+its first MIN_WORDS words. Suffixes of an item that follow each other at
+following places make up its longest verbatim match. Words that no test item has cannot be in a match, so shards
 keep only runs of MIN_WORDS or more test words; nothing else is left out.
 
 The test set is a stated query set: it goes to all shards in blocks of at most
@@ -106,20 +106,17 @@ class Probes:
     def __init__(self, items: list[tuple[int, list[str]]], width: int):
         self.width = width
         self.vocabulary: dict[str, int] = {}
-        rows, owners, tails = [], [], []
-        codes_of = []
-        for item, said in items:
+        rows, which, places = [], [], []
+        for n, (_, said) in enumerate(items):
             codes = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in said]
-            codes_of.append(codes)
             for k in range(len(codes) - width + 1):
                 rows.append(codes[k : k + width])
-                owners.append(item)
-                tails.append((len(codes_of) - 1, k + width))
+                which.append(n)
+                places.append(k)
+        self.items = [item for item, _ in items]
         self.rows = np.array(rows, dtype=np.int64).reshape(-1, width)
-        self.owners = np.array(owners, dtype=np.int64)
-        self.codes = codes_of
-        self.tails = tails
-        self.longest = max((len(c) for c in codes_of), default=0)
+        self.which = np.array(which, dtype=np.int64)
+        self.places = np.array(places, dtype=np.int64)
 
 
 def _shard_matches(docs: list[tuple[int, list[int]]], probes: Probes) -> dict[tuple[int, int], int]:
@@ -137,26 +134,26 @@ def _shard_matches(docs: list[tuple[int, list[int]]], probes: Probes) -> dict[tu
     if not text or not len(probes.rows):
         return {}
     codes, owners = np.array(text, dtype=np.int64), np.array(owner, dtype=np.int64)
-    order = suffix_array(codes, max(probes.width, min(probes.longest, 1 << 12)))
+    order = suffix_array(codes, probes.width)
     lo, hi = bounds(codes, order, probes.rows)
+    hit = np.flatnonzero(hi > lo)
+    # Every place of every test suffix; a shard's words bound their number.
+    many = hi[hit] - lo[hit]
+    row = np.repeat(hit, many)
+    at = order[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + lo[row]]
+    which, shift = probes.which[row], at - probes.places[row]
+    # Suffixes of an item that follow each other at following places are one verbatim match.
+    by = np.lexsort((at, shift, which))
+    at, which, shift = at[by], which[by], shift[by]
+    fresh = np.ones(len(at), dtype=bool)
+    fresh[1:] = (which[1:] != which[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(fresh)
+    length = np.diff(np.append(begin, len(at))) + probes.width - 1
     found: dict[tuple[int, int], int] = {}
-    for row in np.flatnonzero(hi > lo):
-        item, (which, at) = int(probes.owners[row]), probes.tails[row]
-        rest = np.array(probes.codes[which][at:], dtype=np.int64)
-        # The range is as long as there are copies; it is walked in steps of fixed size.
-        for a in range(int(lo[row]), int(hi[row]), 65_536):
-            places = order[a : min(a + 65_536, int(hi[row]))] + probes.width
-            length = np.full(len(places), probes.width)
-            alive = np.arange(len(places))
-            for k, want in enumerate(rest):
-                alive = alive[(places[alive] + k < len(codes))]
-                alive = alive[codes[places[alive] + k] == want]
-                if not len(alive):
-                    break
-                length[alive] += 1
-            for doc, n in zip(owners[places - probes.width].tolist(), length.tolist()):
-                if n > found.get((doc, item), 0):
-                    found[doc, item] = n
+    for doc, n, words_ in zip(owners[at[begin]].tolist(), which[begin].tolist(), length.tolist()):
+        key = (doc, probes.items[n])
+        if words_ > found.get(key, 0):
+            found[key] = words_
     return found
 
 

@@ -278,6 +278,19 @@ def test_p9_found_is_brute_force(spark, data):
     assert rows(queries.p9_found(spark, data)) == brute_p9(docs, items)
 
 
+def test_p9_longest_match(spark, data):
+    docs, items = [(r["doc_id"], r["text"]) for r in load(data, "documents")], dict((r["item_id"], r["item_text"]) for r in load(data, "eval_item"))
+    texts = dict(docs)
+    found = leakage.leaks(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_item.parquet")).collect()
+    for r in found:
+        a, b = leakage.words(texts[r["doc_id"]]), leakage.words(items[r["item_id"]])
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+            best = max(best, max(row))
+        assert best == r["match_words"]
+
+
 def test_p9_cases(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = [(1, "x " + item.upper().replace(" ", ", ") + " y"), (2, item.replace("three", "thr\u00adee").replace("nine", "ni\u200bne")), (3, " ".join(item.split()[:11])), (4, None), (5, ""), (6, item.replace("four", "4")), (7, item + " " + item), (8, ("w " * 50_000) + item[:-9])]
