@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quern.plans.partitioning import spread
@@ -32,28 +33,34 @@ REMEMBERED = 1_000_000
 # The pattern by which byte-level BPE texts are cut into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Pairs of two different tokens can't overlap: a place of the least pair is contracted, the one after it goes.
+#: Of overlapping places of a pair of equal tokens every second one of a run is contracted; words with such a pair go their own way.
 _CONTRACT = """
 WITH RECURSIVE state(word, pos, tok, round) AS (
   SELECT word, pos, tok, 0 FROM letters
-  UNION ALL
-  SELECT word, pos, CASE WHEN taken THEN made ELSE tok END, round + 1
-  FROM (
-    SELECT *, coalesce(lag(taken) OVER (PARTITION BY word ORDER BY pos), false) AS eaten
+  UNION ALL (
+    WITH pairs AS MATERIALIZED (
+      SELECT p.word, p.pos, p.tok, p.round, m.rnk, m.made, m.a = m.b AS twin, l.rnk AS before, min(m.rnk) OVER (PARTITION BY p.word) AS best
+      FROM (SELECT word, pos, tok, round, lead(tok) OVER w AS nxt, lag(tok) OVER w AS prv FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)) p
+      LEFT JOIN merges m ON m.a = p.tok AND m.b = p.nxt
+      LEFT JOIN merges l ON l.a = p.prv AND l.b = p.tok),
+    twins AS (SELECT word FROM pairs WHERE rnk = best AND twin)
+    SELECT word, pos, CASE WHEN rnk = best THEN made ELSE tok END, round + 1
+    FROM pairs WHERE best IS NOT NULL AND before IS DISTINCT FROM best AND word NOT IN (FROM twins)
+    UNION ALL
+    SELECT word, pos, CASE WHEN taken THEN made ELSE tok END, round + 1
     FROM (
-      SELECT *, hit AND (place - min(place) FILTER (hit) OVER (PARTITION BY word, run)) % 2 = 0 AS taken
+      SELECT *, coalesce(lag(taken) OVER (PARTITION BY word ORDER BY pos), false) AS eaten
       FROM (
-        SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run
+        SELECT *, hit AND (place - min(place) FILTER (hit) OVER (PARTITION BY word, run)) % 2 = 0 AS taken
         FROM (
-          SELECT *, coalesce(rnk = best, false) AS hit
-          FROM (
-            SELECT p.word, p.pos, p.tok, p.round, p.place, m.rnk, m.made, min(m.rnk) OVER (PARTITION BY p.word) AS best
-            FROM (SELECT word, pos, tok, round, lead(tok) OVER w AS nxt, row_number() OVER w AS place FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)) p
-            LEFT JOIN merges m ON m.a = p.tok AND m.b = p.nxt
-          ) WHERE best IS NOT NULL
+          SELECT *, coalesce(rnk = best, false) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS place,
+                 sum(CASE WHEN rnk = best THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run
+          FROM pairs WHERE word IN (FROM twins)
         )
       )
-    )
-  ) WHERE NOT eaten
+    ) WHERE NOT eaten
+  )
 )
 SELECT word, list(tok ORDER BY pos) AS ids
 FROM (SELECT *, max(round) OVER (PARTITION BY word) AS final FROM state)
@@ -120,7 +127,7 @@ class Encoder:
         for w in new:
             block.append(w)
             size += len(w)
-            if size > 200_000:
+            if size > 400_000:
                 self.learn(block)
                 if out:
                     out.update((x, self.known[x]) for x in block)
@@ -138,12 +145,22 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoding(path: str, rows: int = 2000):
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most that many bytes of text, or of one row."""
+    begin = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+        if size and size + n > most:
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    yield batch.slice(begin)
+
+
+def _encoding(path: str, most: int = 4_000_000):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+            for batch in _slices(whole, most):
                 ids = worker.encode(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
