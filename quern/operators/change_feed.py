@@ -72,9 +72,28 @@ def fold_level(writes: DataFrame, tombs: DataFrame, key: list[str], parent: Data
     return born.filter(F.col("birth").isNotNull()).select(*key, "birth", F.col("last.seq").alias("last_seq"), *[f"last.{c}" for c in carried])
 
 
-def apply_changes(events: DataFrame, payload: bool = False) -> DataFrame:
-    """Records that exist after all changes: aggregate_id, kind, record_id, parent_id, last_seq[, payload]."""
-    ops = cut(operations(events, payload))
+#: Places of base rows before all changes; a parent comes before its children.
+BASE_SEQ = {SESSION: -3, MESSAGE: -2, PART: -1}
+
+
+def base_operations(base: DataFrame, payload: bool) -> DataFrame:
+    """Rows of a table before the feed (aggregate_id, kind, record_id, parent_id[, payload]) as its first writes."""
+    kind, rid, up = F.col("kind"), F.col("record_id"), F.col("parent_id")
+    seq = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in BASE_SEQ.items()]).cast("long")
+    op = F.when(kind == SESSION, "session.created").when(kind == MESSAGE, "message.updated").otherwise("message.part.updated")
+    ids = [F.when(kind == SESSION, rid).when(kind == MESSAGE, up).alias("sid"), F.when(kind == MESSAGE, rid).when(kind == PART, up).alias("mid"), F.when(kind == PART, rid).alias("pid")]
+    return base.filter(kind.isin(*BASE_SEQ)).select("aggregate_id", seq.alias("seq"), op.alias("op"), *ids, *(["payload"] if payload else []))
+
+
+def apply_changes(events: DataFrame, payload: bool = False, base: DataFrame | None = None) -> DataFrame:
+    """Records that exist after all changes: aggregate_id, kind, record_id, parent_id, last_seq[, payload].
+
+    base: the records before the feed; those that no change touched keep a negative last_seq.
+    """
+    ops = operations(events, payload)
+    if base is not None:
+        ops = ops.unionByName(base_operations(base, payload))
+    ops = cut(ops)
     extra = ["payload"] if payload else []
     is_op = lambda *names: F.col("op").isin(*names)
 

@@ -158,6 +158,17 @@ def test_p3_cases(spark):
     assert rows(change_feed.apply_changes(df.limit(0))) == set()
 
 
+def test_p3_base_rows(spark):
+    base = spark.createDataFrame([("a", "session", "a", None), ("a", "message", "m", "a"), ("a", "message", "n", "a"), ("a", "part", "p", "m"), ("b", "session", "b", None), ("c", "message", "lost", "c")], "aggregate_id string, kind string, record_id string, parent_id string")
+    feed = [("e1", "a", 0, "message.removed.1", '{"sessionID":"a","messageID":"m"}'), ("e2", "a", 1, "message.part.updated.1", '{"sessionID":"a","part":{"id":"q","messageID":"n"}}'), ("e3", "b", 0, "session.updated.1", '{"sessionID":"b","info":{}}')]
+    df = spark.createDataFrame([(*f, "2024-01-01 00:00:00") for f in feed], "id string, aggregate_id string, seq long, type string, data string, received_at string")
+    got = rows(change_feed.apply_changes(df, base=base).select("record_id", "last_seq"))
+    assert got == {("a", -3), ("n", -2), ("q", 1), ("b", 0)}
+    # The state after a feed, taken as the base of the next one, stands as it is.
+    again = change_feed.apply_changes(df.limit(0), base=change_feed.apply_changes(df, base=base))
+    assert {r[0] for r in again.select("record_id").collect()} == {"a", "n", "q", "b"}
+
+
 def test_p5_cases(spark):
     links = [("r", None, 1), ("a", "r", 1), ("b", "a", 1), ("b", "r", 0), ("c", "x", 1), ("e", "", 1), ("l", "l", 1), ("m", "l", 1), ("n", "m", 1), (None, "r", 1), ("a", "r", 1), ("p", "q", 1), ("q", "p", 1)]
     df = spark.createDataFrame([(*x, "clash") for x in links], "id string, parent_id string, time_updated long, path string")
