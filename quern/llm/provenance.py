@@ -4,11 +4,12 @@
    marked paths and names, and the prologue of compiled modules.
 2. A random forest is trained on statistics of the text (compression ratio,
    token entropy, identifier lengths, comment density, line shape) from which
-   comments with notices are removed; its labels are the notices. It is fitted
-   on a bounded sample of labelled rows (TRAIN_ROWS); every file is scored.
-3. A file that the forest scores as machine-made and whose text is minified or
-   mainly literals by the exact check is found, as is every marked file and
-   every exact copy of a third party's file within a project.
+   comments with notices are removed; its labels are generated marks and the
+   exact check of step 3. It is fitted on a bounded sample of labelled rows
+   (TRAIN_ROWS); every file is scored.
+3. A file whose text is minified or mainly literals by the exact check is
+   found unless the forest vetoes it, as is every marked file and every exact
+   copy of a third party's file within a project.
 
 Only fixed-size statistics leave the Arrow pass, never texts; copies meet by
 hash.
