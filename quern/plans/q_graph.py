@@ -312,13 +312,28 @@ def j19(spark, d):
     return graph.enclosing(spans, points, "key", 32).select("pid", F.col("sid").alias("start"))
 
 
+def order_spans(spark, d):
+    day = F.floor(F.unix_seconds("o_orderdate") / 86400)
+    return orders(spark, d).select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("key"), day.alias("start"), (day + 7).alias("stop"))
+
+
+def line_spans(spark, d):
+    day = F.floor(F.unix_seconds("l_shipdate") / 86400)
+    return lineitem(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("key"), day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("stop")).distinct()
+
+
 @query("graph_j20_overlap", """WITH l AS (SELECT o_orderkey AS id, o_custkey % 100 AS key, epoch(o_orderdate) // 86400 AS a, epoch(o_orderdate) // 86400 + 7 AS b FROM orders WHERE o_custkey % 10 = 0), r AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS key, epoch(l_shipdate) // 86400 AS a, epoch(l_shipdate) // 86400 + CAST(l_quantity AS BIGINT) AS b FROM lineitem WHERE l_suppkey % 10 = 0)
 SELECT l.id AS lid, r.id AS rid FROM l JOIN r ON l.key = r.key AND l.a <= r.b AND r.a <= l.b""")
 def j20(spark, d):
-    day = lambda c: F.floor(F.unix_seconds(c) / 86400)
-    left = orders(spark, d).filter("o_custkey % 10 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("key"), day("o_orderdate").alias("start"), (day("o_orderdate") + 7).alias("stop"))
-    right = lineitem(spark, d).filter("l_suppkey % 10 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("key"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("stop")).distinct()
-    return graph.overlapping(left, right, "key", 32)
+    left, right = order_spans(spark, d), line_spans(spark, d)
+    return graph.overlapping(left.filter("key % 10 = 0"), right.filter("key % 10 = 0"), "key", 32)
+
+
+@query("graph_j20_overlap_all", """WITH l AS (SELECT o_orderkey AS id, o_custkey % 100 AS key, epoch(o_orderdate) // 86400 AS a, epoch(o_orderdate) // 86400 + 7 AS b FROM orders), r AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS key, epoch(l_shipdate) // 86400 AS a, epoch(l_shipdate) // 86400 + CAST(l_quantity AS BIGINT) AS b FROM lineitem)
+SELECT l.id AS lid, r.id AS rid FROM l JOIN r ON l.key = r.key AND l.a <= r.b AND r.a <= l.b""")
+def j20_all(spark, d):
+    """Over all orders and lineitems; graph_j20_overlap keeps every tenth key, as its SQL does."""
+    return graph.overlapping(order_spans(spark, d), line_spans(spark, d), "key", 32)
 
 
 @query("graph_j23_parents", "SELECT DISTINCT n_nationkey FROM nation JOIN supplier ON s_nationkey = n_nationkey")
