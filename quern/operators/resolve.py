@@ -138,12 +138,16 @@ def containing_sets(stubs: DataFrame, candidates: DataFrame, shortest: int = 1)
 
     Counts shared methods by joining on the method; a stub's pairs are the
     candidates that share its rarest method, so common names make no pairs.
+    Stubs of the same methods are matched as one.
     """
-    s = stubs.select(F.col("owner").alias("stub"), "method").distinct()
+    every = stubs.select(F.col("owner").alias("stub"), "method").distinct()
     c = candidates.select(F.col("owner").alias("impl"), "method").distinct()
-    need = s.groupBy("stub").agg(F.count(F.lit(1)).alias("need")).filter(F.col("need") >= shortest)
+    sets = every.groupBy("stub").agg(F.sort_array(F.collect_list("method")).alias("methods"), F.count(F.lit(1)).alias("need")).filter(F.col("need") >= shortest)
+    alike = sets.groupBy("methods", "need").agg(F.min("stub").alias("first"))
+    of = sets.select("stub", "methods").join(alike, "methods").select("stub", "first", "need")
+    s = alike.select("first", F.explode("methods").alias("method"))
     often = c.groupBy("method").agg(F.count(F.lit(1)).alias("often"))
-    rarest = s.join(often, "method").groupBy("stub").agg(F.min(F.struct("often", "method"))["method"].alias("method"))
-    pairs = rarest.join(c, "method").filter("stub <> impl").select("stub", "impl")
-    met = pairs.join(s, "stub").join(c, ["impl", "method"]).groupBy("stub", "impl").agg(F.count(F.lit(1)).alias("met"))
-    return met.join(need, "stub").filter("met = need").select("stub", "impl")
+    rarest = s.join(often, "method").groupBy("first").agg(F.min(F.struct("often", "method"))["method"].alias("method"))
+    pairs = rarest.join(c, "method").select("first", "impl")
+    met = pairs.join(s, "first").join(c, ["impl", "method"]).groupBy("first", "impl").agg(F.count(F.lit(1)).alias("met"))
+    return met.join(of, "first").filter("met = need AND stub <> impl").select("stub", "impl")

@@ -2,6 +2,7 @@
 
 import collections
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
@@ -28,3 +29,34 @@ def test_j20_overlaps_of_every_key(spark):
         want.update((o["o_orderkey"], i) for i, start, stop in spans[o["o_custkey"] % 100] if a <= stop and start <= a + 7)
     assert bag(entry.queries()["graph_j20_overlap_all"](spark, SMALL)) == want
     assert sum(want.values()) > sum(bag(entry.queries()["graph_j20_overlap"](spark, SMALL)).values())
+
+
+def test_resolve_asks_for_every_row(spark):
+    q = lambda name: entry.queries()[name](spark, SMALL)
+    parts, customers = {str(r["p_partkey"]) for r in load("part")}, {str(r["c_custkey"]) for r in load("customer")}
+    assert {r.ref_id[1:] for r in q("resolve_e6_best_match_all").collect()} == parts
+    shared = collections.Counter((r["p_type"], r["p_name"]) for r in load("part"))
+    alone = {str(r["p_partkey"]) for r in load("part") if shared[r["p_type"], r["p_name"]] == 1}
+    assert alone and {r.ref_id[1:] for r in q("resolve_e4_qualified_all").collect()} == alone
+    # These two leave references without a near candidate unresolved, whatever their id.
+    best = {r.ref_id for r in q("resolve_e6_best_match_all").filter("n = 1 OR score > -1").collect()}
+    assert {r.ref_id for r in q("resolve_e3_exact_name_all").collect()} == best and len(best) > len(parts) / 7 + 1
+    ladder = [r.ref_id for r in q("resolve_e1_ladder").collect()]
+    assert set(ladder) >= best and sum(r.n for r in q("resolve_a26_by_method").collect()) == len(ladder)
+    assert {r.source[1:] for r in q("resolve_e10_edge_creation_all").collect()} == parts
+    assert {r.ref_id[1:] for r in q("resolve_e8_lower_name_all").collect()} == customers
+
+
+def test_e25_takes_the_methods_of_every_order(spark, tmp_path):
+    lines, owner = load("lineitem")[:400], {o["o_orderkey"]: o["o_custkey"] for o in load("orders")}
+    lines = [r | {"l_suppkey": r["l_orderkey"] % 300} for r in lines]
+    (tmp_path / "orders.parquet").symlink_to(f"{SMALL}/orders.parquet")
+    stubs, impls = collections.defaultdict(set), collections.defaultdict(set)
+    for r in lines:
+        stubs[r["l_suppkey"]].add(r["l_partkey"] % 50)
+        impls[owner[r["l_orderkey"]]].add(r["l_partkey"] % 50)
+    stubs[-1] = stubs[-2] = {lines[0]["l_partkey"] % 50}
+    lines += [lines[0] | {"l_suppkey": k} for k in (-1, -2)]
+    pq.write_table(pa.Table.from_pylist(lines, pq.read_schema(f"{SMALL}/lineitem.parquet")), tmp_path / "lineitem.parquet")
+    want = collections.Counter((s, i) for s, need in stubs.items() for i, has in impls.items() if s != i and need <= has)
+    assert want and bag(entry.queries()["resolve_e25_stub_impl_all"](spark, str(tmp_path))) == want
