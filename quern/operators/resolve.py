@@ -84,6 +84,57 @@ def by_qualified(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return one.select("ref_id", F.when(sole, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(sole, 0.95).otherwise(0.85).alias("confidence"), F.lit("qualified-name").alias("by")).filter("id IS NOT NULL")
 
 
+def words(text: Column) -> Column:
+    """Words of more than one letter of a camel-case or qualified name, in lower case."""
+    apart = F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.filter(F.split(F.lower(apart), r"[\s._:/\\\\]+"), lambda w: F.length(w) > 1)
+
+
+def by_method(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Tier of receiver.method and Class::method: first hit of a method of the receiver's given type (.9), of the class so
+    named (.85) or so named with a capital (.8), the only method of the language (.7), the one whose qualified name shares
+    most words with the receiver, at least two with one for the language (.65); ties by the least id.
+
+    refs may have receiver_type, the type inferred for the receiver, and receiver_import, the dotted name it is imported by.
+    """
+    for c in ("receiver_type", "receiver_import"):
+        refs = refs if c in refs.columns else refs.withColumn(c, F.lit(None).cast("string"))
+    form = r"^(\w+)(\.|::)(\w+)$"
+    part = lambda i: F.regexp_extract("name", form, i)
+    typed = F.when(part(2) == ".", F.col("receiver_type"))
+    asked = refs.filter(F.col("name").rlike(form)).select("ref_id", "language", part(1).alias("receiver"), part(3).alias("method"), typed.alias("type"), "receiver_import")
+    capital = F.concat(F.upper(F.substring("receiver", 1, 1)), F.expr("substring(receiver, 2)"))
+    methods = symbols.filter("kind = 'method'").select(F.col("id").alias("m_id"), F.col("name").alias("method"), "qualified_name", "file_path", F.col("language").alias("m_language")).join(asked.select("method").distinct(), "method", "left_semi")
+    hit = lambda df, id_, no, confidence, by: df.select("ref_id", F.lit(no).alias("step"), id_.alias("id"), F.lit(confidence).alias("confidence"), F.lit(by).alias("by"))
+    # 1: the type's own method; of several the one in the file that the import names.
+    of_type = methods.select("m_id", "method", "file_path", F.col("m_language").alias("language"), F.regexp_extract("qualified_name", r"(?:^|::)([^:]+)::[^:]+$", 1).alias("type"), F.regexp_extract("qualified_name", "([^:]+)$", 1).alias("own")).filter("own = method")
+    path = F.concat(F.replace("receiver_import", F.lit("."), F.lit("/")), F.when(F.col("language") == "kotlin", ".kt").otherwise(".java"))
+    told = asked.filter("type IS NOT NULL").join(of_type, ["type", "method", "language"]).groupBy("ref_id").agg(F.coalesce(F.min(F.when(F.endswith("file_path", path), F.col("m_id"))), F.min("m_id")).alias("id"))
+    # 2, 3: methods in the file of a class whose qualified name holds the class's, reduced to one per class name before the join.
+    classes = symbols.filter(F.col("kind").isin(*TYPES)).select(F.col("id").alias("c_id"), F.col("name").alias("class"), "file_path", "language")
+    classes = classes.join(asked.select(F.explode(F.array("receiver", capital)).alias("class")).distinct(), "class", "left_semi")
+    members = classes.join(methods, "file_path").filter(F.contains("qualified_name", F.col("class"))).groupBy("class", "language", "method").agg(F.min(F.struct("c_id", "m_id"))["m_id"].alias("id"))
+    named = asked.withColumn("class", F.col("receiver")).join(members, ["class", "language", "method"])
+    raised = asked.withColumn("class", capital).filter("class <> receiver").join(members, ["class", "language", "method"])
+    # 4: the only one of the language.
+    per = methods.groupBy("method", F.col("m_language").alias("language")).agg(F.count(F.lit(1)).alias("n"), F.min("m_id").alias("id"))
+    only = asked.join(per.filter("n = 1"), ["method", "language"])
+    # 5: a match shares a word at least, so methods meet on words; alike ones are reduced to the least id.
+    alike = methods.groupBy("method", "m_language", F.array_sort(F.array_distinct(words(F.col("qualified_name")))).alias("ws")).agg(F.min("m_id").alias("m_id"))
+    said = asked.select("ref_id", "language", "method", F.explode(words(F.col("receiver"))).alias("word"))
+    score = F.count(F.lit(1)) + F.max(F.when(F.col("language") == F.col("m_language"), 1).otherwise(0))
+    met = said.join(alike.withColumn("word", F.explode("ws")), ["method", "word"]).groupBy("ref_id", "method", "language", "m_language", "m_id").agg(score.alias("score"))
+    # Methods of other languages count only where the language has none, and then only if there are several.
+    count = methods.groupBy("method").agg(F.count(F.lit(1)).alias("every"))
+    open_ = met.join(per.select("method", "language", "n"), ["method", "language"], "left").join(count, "method").filter("score >= 2 AND every > 1 AND (n IS NULL OR m_language = language)")
+    most = open_.groupBy("ref_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "m_id"))["m_id"].alias("id"))
+    id_, steps = F.col("id"), []
+    for no, (df, confidence, by) in enumerate([(told, 0.9, "instance-method"), (named, 0.85, "qualified-name"), (raised, 0.8, "instance-method"), (only, 0.7, "instance-method"), (most, 0.65, "instance-method")]):
+        steps.append(hit(df, id_, no, confidence, by))
+    best = reduce(DataFrame.unionByName, steps).groupBy("ref_id").agg(F.min(F.struct("step", "id", "confidence", "by")).alias("m"))
+    return best.select("ref_id", "m.id", "m.confidence", "m.by")
+
+
 def by_name(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Tier of exact names: the only one (.9, .5 across languages), else the best (.7 if near, .4 if not)."""
     best = best_match(refs, symbols).join(refs.select("ref_id", "language"), "ref_id").join(symbols.select("id", F.col("language").alias("s_language")), "id")
@@ -106,7 +157,7 @@ def by_lower_name(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """ref_id, id, confidence, by: the hit of the first tier that has one."""
-    tiers = [by_path(refs, symbols.filter("kind = 'file'")), by_qualified(refs, symbols), by_name(refs, symbols), by_lower_name(refs, symbols)]
+    tiers = [by_path(refs, symbols.filter("kind = 'file'")), by_qualified(refs, symbols), by_method(refs, symbols), by_name(refs, symbols), by_lower_name(refs, symbols)]
     ranked = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
     return ranked.groupBy("ref_id").agg(F.min(F.struct("tier", "id", "confidence", "by")).alias("m")).select("ref_id", "m.id", "m.confidence", "m.by")
 

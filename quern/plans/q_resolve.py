@@ -114,14 +114,25 @@ def _e8(c, chosen):
     return resolve.by_lower_name(asked, sym).select("ref_id", "id", "confidence")
 
 
+def _ladder(spark, d):
+    """The ladder over the parts' symbols and references, with methods of the brands as classes and dotted references to them."""
+    p, k, size = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    brand, step = F.replace("p_brand", F.lit("#"), F.lit("")), F.concat(F.lit("step"), size.cast("string"))
+    row = lambda mark, name, qualified, kind: p.select(F.concat(F.lit(mark), k.cast("string")).alias("id"), name.alias("name"), qualified.alias("qualified_name"), F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), "p_brand", F.lit(".ts")).alias("file_path"), F.element_at(F.array(*map(F.lit, LANGUAGE)), (k % 3 + 1).cast("int")).alias("language"), F.lit(kind).alias("kind"), (k % 2 == 0).alias("is_exported"), (k % 1000).cast("int").alias("start_line"))
+    sym = symbols(spark, d).unionByName(row("m", step, F.concat(brand, F.lit("::"), step), "method")).unionByName(row("k", brand, brand, "class"))
+    receiver = F.element_at(F.array(brand, F.lower(brand), F.concat(F.lit("my"), brand), F.lit("it")), (k % 4 + 1).cast("int"))
+    dotted = p.withColumn("name", F.concat(receiver, F.lit("."), step)).select(F.concat(F.lit("d"), k.cast("string")).alias("ref_id"), "name", F.lit("src/main.ts").alias("file_path"), F.element_at(F.array(*map(F.lit, LANGUAGE)), (k % 3 + 1).cast("int")).alias("language"), F.lit("calls").alias("kind"), size.alias("line"), F.when(k % 4 == 3, brand).alias("receiver_type"))
+    return resolve.resolve(refs(spark, d).unionByName(dotted, allowMissingColumns=True), sym)
+
+
 @query("resolve_e1_ladder")
 def e1(spark, d):
-    return resolve.resolve(refs(spark, d), symbols(spark, d))
+    return _ladder(spark, d)
 
 
 @query("resolve_a26_by_method")
 def a26(spark, d):
-    return resolve.resolve(refs(spark, d), symbols(spark, d)).groupBy("by").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    return _ladder(spark, d).groupBy("by").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
 @query("resolve_e9_arbitration", "WITH o AS (SELECT o_custkey AS ref_id, o_orderkey AS id, round((o_orderkey % 97) / 100.0, 2) AS c, CAST(o_orderkey % 4 AS INTEGER) AS s FROM orders), a AS (SELECT ref_id, coalesce(min((s, id, c)) FILTER (c >= 0.9), min((-c, s, id, c))) IS NULL AS x FROM o GROUP BY 1), w AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY CASE WHEN c >= 0.9 THEN 0 ELSE 1 END, CASE WHEN c >= 0.9 THEN s END, CASE WHEN c >= 0.9 THEN id END, c DESC, s, id) AS p FROM o) SELECT ref_id, id, CAST(c AS DOUBLE) AS confidence, s AS strategy FROM w WHERE p = 1")

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
+from quern.operators import resolve
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -60,3 +61,26 @@ def test_e25_takes_the_methods_of_every_order(spark, tmp_path):
     pq.write_table(pa.Table.from_pylist(lines, pq.read_schema(f"{SMALL}/lineitem.parquet")), tmp_path / "lineitem.parquet")
     want = collections.Counter((s, i) for s, need in stubs.items() for i, has in impls.items() if s != i and need <= has)
     assert want and bag(entry.queries()["resolve_e25_stub_impl_all"](spark, str(tmp_path))) == want
+
+
+def test_e5_method_calls(spark):
+    m = lambda i, name, q, path, lang, kind="method": (i, name, q, path, lang, kind, True, 1)
+    symbols = spark.createDataFrame([
+        m("t1", "go", "a::Bo::go", "x/a/Bo.java", "java"), m("t2", "go", "b::Bo::go", "x/b/Bo.java", "java"), m("c1", "Engine", "Engine", "e.ts", "ts", "class"), m("e1", "run", "Engine::run", "e.ts", "ts"), m("o1", "run", "Other::run", "o.ts", "ts"),
+        m("u1", "solo", "Far::solo", "f.ts", "ts"), m("r1", "check", "PermissionRuleEngine::check", "p.ts", "ts"), m("r2", "check", "Cache::check", "q.ts", "ts"), m("g1", "other", "Lone::other", "g.go", "go"),
+        m("w1", "scan", "TokenTreeReader::scan", "w.go", "go"), m("w2", "scan", "Disk::scan", "w.go", "go"),
+    ], "id string, name string, qualified_name string, file_path string, language string, kind string, is_exported boolean, start_line int")
+    asked = [
+        ("1", "svc.go", "java", "Bo", "b.Bo"), ("2", "svc.go", "java", "Bo", None), ("3", "Engine.run", "ts", None, None), ("4", "engine.run", "ts", None, None), ("5", "x.solo", "ts", None, None),
+        ("6", "permissionEngine.check", "ts", None, None), ("7", "zz.check", "ts", None, None), ("8", "x.other", "ts", None, None), ("9", "tokenTree.scan", "ts", None, None), ("10", "tokenBox.scan", "ts", None, None), ("11", "a.b.go", "java", None, None),
+    ]
+    refs = spark.createDataFrame([(i, n, "s/q.x", lang, "calls", 1, t, imp) for i, n, lang, t, imp in asked], "ref_id string, name string, file_path string, language string, kind string, line int, receiver_type string, receiver_import string")
+    want = {
+        "1": ("t2", 0.9, "instance-method"), "2": ("t1", 0.9, "instance-method"), "3": ("e1", 0.85, "qualified-name"), "4": ("e1", 0.8, "instance-method"), "5": ("u1", 0.7, "instance-method"),
+        "6": ("r1", 0.65, "instance-method"), "9": ("w1", 0.65, "instance-method"),
+    }
+    assert {r.ref_id: (r.id, r.confidence, r.by) for r in resolve.by_method(refs, symbols).collect()} == want
+    assert {r.ref_id: (r.id, r.confidence, r.by) for r in resolve.resolve(refs, symbols).collect()} == want
+    # The registered ladder has dotted references, each found by its method.
+    dotted = entry.queries()["resolve_e1_ladder"](spark, SMALL).filter("ref_id LIKE 'd%'").collect()
+    assert len({r.ref_id for r in dotted}) > 100 and {r.confidence for r in dotted} >= {0.9, 0.85, 0.8}
