@@ -79,6 +79,12 @@ def s4(spark, d):
     return extract.symbols(table(spark, d, "source_files").filter("language IN ('python', 'go', 'rust')"))
 
 
+@query("io_s4_symbols_all")
+def s4_all(spark, d):
+    """Of every language with patterns; io_s4_symbols has three, as its SQL does."""
+    return extract.symbols(table(spark, d, "source_files"))
+
+
 @query("resolve_e34_hunks")
 def e34(spark, d):
     """Hunk ranges of diffs made of the documents' ids."""

@@ -1,12 +1,14 @@
 """Queries over whole tables: no row is thinned away, results agree with brute force."""
 
 import collections
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
 from quern.operators import resolve
+from quern.sources import extract
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -84,3 +86,15 @@ def test_e5_method_calls(spark):
     # The registered ladder has dotted references, each found by its method.
     dotted = entry.queries()["resolve_e1_ladder"](spark, SMALL).filter("ref_id LIKE 'd%'").collect()
     assert len({r.ref_id for r in dotted}) > 100 and {r.confidence for r in dotted} >= {0.9, 0.85, 0.8}
+
+
+def test_s4_symbols_of_every_language(spark):
+    files = {(r["project_id"], r["path"], r["language"], r["content"]) for r in load("source_files") if r["content"] is not None}
+    want = collections.Counter()
+    for project, path, language, text in files:
+        for no, line in enumerate(text.split("\n"), 1):
+            hit = next(((kind, m[1]) for lang, kind, p in extract.DEFINITIONS if lang == language and (m := re.search(p, line, re.A))), None)
+            want.update([(project, path, *hit, no)] if hit else [])
+    assert bag(entry.queries()["io_s4_symbols_all"](spark, SMALL)) == want
+    language = {(project, path): lang for project, path, lang, _ in files}
+    assert {language[k[:2]] for k in want} >= {"javascript", "typescript", "java", "c"}
