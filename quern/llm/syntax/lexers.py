@@ -463,7 +463,7 @@ def c(text: str) -> Iterator[Token]:
     """C after its directives are blanked out; conditionals must nest, and of their branches the first is kept."""
     text = text.removeprefix("\ufeff")
     masked = re.sub(r"/\*.*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else m[0], text, flags=re.S)
-    out, last, depth, skip = [], 0, 0, []
+    out, last, depth, skip, taken = [], 0, 0, [], []
     for m in _DIRECTIVE.finditer(masked):
         line = text.count("\n", 0, m.start()) + 1
         name = m[1]
@@ -474,14 +474,16 @@ def c(text: str) -> Iterator[Token]:
         if name in ("if", "ifdef", "ifndef"):
             depth += 1
             skip.append(name == "if" and m[2].strip() == "0")
+            taken.append(not skip[-1])
         elif name in ("elif", "else", "elifdef", "elifndef", "endif"):
             if not depth:
                 raise Bad(line, "#" + name)
             if name == "endif":
                 depth -= 1
                 skip.pop()
+                taken.pop()
             else:
-                skip[-1] = not skip[-1] if name == "else" and skip[-1] else True
+                skip[-1], taken[-1] = taken[-1], True
         elif name not in ("define", "undef", "include", "pragma", "error", "warning", "line", "import", "include_next", ""):
             raise Bad(line, "#" + name)
     if depth:

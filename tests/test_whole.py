@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
+from quern.llm import syntax
 from quern.operators import resolve
 from quern.sources import extract
 
@@ -98,3 +99,11 @@ def test_s4_symbols_of_every_language(spark):
     assert bag(entry.queries()["io_s4_symbols_all"](spark, SMALL)) == want
     language = {(project, path): lang for project, path, lang, _ in files}
     assert {language[k[:2]] for k in want} >= {"javascript", "typescript", "java", "c"}
+
+
+def test_p2_one_branch_of_a_conditional():
+    """Of #if, #elif and #else only one branch is kept, the first that isn't #if 0."""
+    heads = "#if A\nint f(int a) {\n#elif B\nint f(long a) {\n#else\nint f(char a) {\n#endif\n  return 0;\n}\n"
+    assert not syntax.first_error("c", heads)
+    assert not syntax.first_error("c", heads.replace("#if A", "#if 0"))
+    assert syntax.first_error("c", "#if 0\nint a;\n#elif B\nint = ;\n#else\nint b;\n#endif\n")
