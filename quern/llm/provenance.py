@@ -2,22 +2,25 @@
 
 1. Marks: notices in comments (of generators, bundlers and third parties),
    marked paths and names, and the prologue of compiled modules.
-2. A random forest is trained on statistics of the text (compression ratio,
-   token entropy, identifier lengths, comment density, line shape) from which
-   comments with notices are removed; its labels are generated marks and the
-   exact check of step 3. It is fitted on a bounded sample of labelled rows
-   (TRAIN_ROWS); every file is scored.
-3. A file whose text is minified or mainly literals by the exact check is
-   found unless the forest vetoes it, as is every marked file and every exact
-   copy of a third party's file within a project.
+2. A random forest on statistics of the text (compression ratio, token
+   entropy, identifier lengths, comment density, line shape), from which
+   comments with notices are removed. Its labels are the notices alone: files
+   that a tool signed in a comment against files without any mark; paths and
+   notices of third parties, whose code somebody did write, label nothing. As
+   no tool signs data written as code, made examples of it (MADE) join the
+   labelled. Unmarked files aren't all hand-written: those that a first forest
+   suspects are left out when the second is fitted. Both are fitted on a
+   bounded sample (TRAIN_ROWS); every file is scored.
+3. Found are marked files, exact copies of a third party's file within a
+   project, and every file that the forest scores MACHINE or more.
 
 Only fixed-size statistics leave the Arrow pass, never texts; copies meet by
 hash.
 
 Defined results: a null content has only its path to show; an empty text is
 hand-written unless its path says otherwise; null node counts are a value of
-their own; repeated rows give one row; without both labels in the sample
-(tiny tables) the exact check decides alone.
+their own; repeated rows give one row; without any unmarked file there is
+nothing to learn and every score is 0.
 """
 
 from __future__ import annotations
@@ -28,24 +31,32 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT  # noqa: F401  (registers the vector type)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.made_data import made_data
 from quern.plans.checkpoints import cut
 from quern.plans.partitioning import spread
 
-#: Rows of each label that the forest is fitted on, at most.
+#: Rows of each label that the forest is fitted on, in expectation.
 TRAIN_ROWS = 20_000
-#: Score from which a file is held against the exact check.
-CANDIDATE = 0.25
-#: Share of letters outside of literals under which a text is mainly data.
-LITERAL = 0.3
+#: Made examples of data written as code.
+MADE = 500
+#: Weight of the made examples as a share of the unmarked files'.
+MADE_SHARE = 0.25
+#: Score of the first forest from which an unmarked file is no example of hand-written code.
+SUSPECT = 0.2
+#: Score from which a file is found; chosen on held-out projects.
+MACHINE = 0.5
+#: Texts with fewer characters are too short for their statistics to say anything.
+SHORT = 200
 
 # Words by which tools and third parties sign their files.
 GENERATED_NOTICE = re.compile(
@@ -65,15 +76,15 @@ _C_LIKE = re.compile(r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`
 _PY_LIKE = re.compile(r"""(?P<str>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<com>\#[^\n]*)""", re.S)
 _XML_LIKE = re.compile(r"(?P<com><!--.*?(?:-->|\Z))", re.S)
 _COMMENT_EDGE = re.compile(r"^[\s/*#!;<\-]*|[\s*/\->]*$")
-_WORD = re.compile(r"[^\W\d]\w*")
+_WORD = re.compile(r"\b[^\W\d]\w*")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 FEATURES = [
     "log_size", "compression", "char_entropy", "token_entropy", "word_length", "short_words", "comment_density", "longest_line", "mean_line", "space_share", "digit_share", "word_share", "string_share", "nodes_per_kb", "distinct_words",
 ]
 _NUMBERS = [(f, pa.float64()) for f in FEATURES]
-_SCHEMA = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("mark", pa.string()), ("noticed", pa.bool_()), ("digest", pa.binary()), ("shape", pa.bool_()), *_NUMBERS])
-_DDL = "project_id string, path string, mark string, noticed boolean, digest binary, shape boolean, " + ", ".join(f"{f} double" for f in FEATURES)
+_SCHEMA = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("mark", pa.string()), ("noticed", pa.bool_()), ("digest", pa.binary()), *_NUMBERS])
+_DDL = "project_id string, path string, mark string, noticed boolean, digest binary, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def _entropy(counts: Counter) -> float:
@@ -120,10 +131,11 @@ def split_text(text: str, language: str | None) -> tuple[str, list[str], int]:
 
 
 def measure(text: str, language: str | None, nodes: int | None) -> tuple[str, bool, list[float]]:
-    """(notice, shape, features) of a text; shape: minified or mainly literals."""
+    """(mark, whether a tool's notice gave it, features) of a text."""
     code, comments, inside = split_text(text, language)
     said = [notice(c) for c in comments]
     mark = next((m for m in ("third_party", "generated") if m in said), "")
+    noticed = mark == "generated"
     shown = text
     for c, m in zip(comments, said):
         if m:
@@ -138,15 +150,12 @@ def measure(text: str, language: str | None, nodes: int | None) -> tuple[str, bo
     n = max(len(shown), 1)
     raw = shown.encode("utf-8", "surrogatepass")
     spaces = sum(map(str.isspace, code)) / max(len(code), 1)
-    word_share = letters / max(solid, 1)
     features = [
         math.log1p(len(shown)), len(zlib.compress(raw, 6)) / max(len(raw), 1), _entropy(Counter(shown)), _entropy(Counter(_TOKEN.findall(code))), letters / max(len(words), 1), sum(len(w) <= 2 for w in words) / max(len(words), 1),
-        sum(len(c) for c, m in zip(comments, said) if not m) / n, float(longest), sum(map(len, lines)) / max(len(lines), 1), spaces, sum(map(str.isdigit, shown)) / n, word_share, inside / n,
+        sum(len(c) for c, m in zip(comments, said) if not m) / n, float(longest), sum(map(len, lines)) / max(len(lines), 1), spaces, sum(map(str.isdigit, shown)) / n, letters / max(solid, 1), inside / n,
         -1.0 if nodes is None else nodes * 1000 / n, len(set(words)) / max(len(words), 1),
     ]
-    minified = longest >= 200 and spaces < 0.2
-    literal = solid >= 300 and word_share < LITERAL
-    return mark, minified or literal, features
+    return mark, noticed, features
 
 
 def code_head(text: str) -> str:
@@ -158,34 +167,50 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in _SCHEMA]
         for project, path, language, nodes, text in zip(*(c.to_pylist() for c in batch.columns)):
-            mark, shape, features = measure(text or "", language, nodes)
+            mark, noticed, features = measure(text or "", language, nodes)
             by_path = path_mark(path)
             both = "third_party" if "third_party" in (by_path, mark) else mark or by_path
             digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest() if text and text.strip() else None
-            for c, x in zip(out, (project, path, both, mark == "generated" or by_path == "generated", digest, shape, *features)):
+            for c, x in zip(out, (project, path, both, noticed, digest, *features)):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA)], schema=_SCHEMA)
 
 
 def measured(files: DataFrame) -> DataFrame:
-    """One row per file and distinct text: project_id, path, mark, noticed, digest, shape and the features."""
+    """One row per file and distinct text: project_id, path, mark, noticed, digest and the features."""
     return spread(files.select("project_id", "path", "language", "node_count", "content")).mapInArrow(_measure, _DDL)
 
 
+@lru_cache(maxsize=1)
+def _made() -> list[tuple]:
+    return [(1.0, *measure(text, language, nodes)[2]) for text, language, nodes in made_data(MADE)]
+
+
+def _forest(sample: DataFrame, trees: int) -> RandomForestClassificationModel:
+    # Shallow trees with full leaves: notices on code like any other are noise that deeper trees would learn by heart.
+    return RandomForestClassifier(numTrees=trees, maxDepth=5, minInstancesPerNode=5, seed=7, subsamplingRate=0.8, labelCol="label", featuresCol="features", weightCol="weight").fit(sample.select("label", "features", "weight"))
+
+
 def score(rows: DataFrame, train: DataFrame | None = None) -> DataFrame:
     """rows with score, the probability that a file is machine-made by a forest fitted on train (else on rows)."""
-    labelled = (rows if train is None else train).withColumn("label", (F.col("noticed") | F.col("shape")).cast("double"))
+    enough = F.col("log_size") > math.log1p(SHORT)
+    labelled = (rows if train is None else train).filter(enough & (F.col("noticed") | (F.col("mark") == ""))).withColumn("label", F.col("noticed").cast("double"))
     sizes = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
-    if len(sizes) < 2:
-        return rows.withColumn("score", F.col("shape").cast("double"))
+    if 0.0 not in sizes:
+        return rows.withColumn("score", F.lit(0.0))
     # The lowest hashes are a sample that doesn't depend on the order of rows; their share follows from the counts.
     order = F.abs(F.xxhash64("project_id", "path")) / F.lit(float(2**63))
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, TRAIN_ROWS / sizes[1.0]))).otherwise(F.lit(min(1.0, TRAIN_ROWS / sizes[0.0])))
-    sample = labelled.filter(order <= share)
+    share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, TRAIN_ROWS / n))) for k, n in sizes.items()])
+    made = rows.sparkSession.createDataFrame(_made(), "label double, " + ", ".join(f"{f} double" for f in FEATURES))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(numTrees=30, maxDepth=8, seed=7, subsamplingRate=0.8, labelCol="label", featuresCol="features")
-    model = forest.fit(assembler.transform(sample).select("label", "features"))
-    return model.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    # However many unmarked files of that kind there are in the sample, the made ones outweigh them.
+    weight = max(1.0, MADE_SHARE * min(sizes[0.0], TRAIN_ROWS) / MADE)
+    known = labelled.filter(order <= share).select("label", *FEATURES, F.lit(1.0).alias("weight")).unionByName(made.withColumn("weight", F.lit(weight)))
+    sample = cut(assembler.transform(known).select("label", "features", "weight").coalesce(4))
+    first = _forest(sample, 30).transform(sample)
+    model = _forest(first.filter((F.col("label") == 1) | (vector_to_array("probability")[1] < SUSPECT)), 30)
+    scored = model.transform(assembler.transform(rows)).withColumn("score", F.when(enough, vector_to_array("probability")[1]).otherwise(F.lit(0.0)))
+    return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
 def provenance(files: DataFrame) -> DataFrame:
@@ -194,10 +219,5 @@ def provenance(files: DataFrame) -> DataFrame:
     scored = score(rows)
     theirs = rows.filter((F.col("mark") == "third_party") & F.col("digest").isNotNull()).select("project_id", "digest").distinct().withColumn("copied", F.lit(True))
     seen = scored.join(theirs, ["project_id", "digest"], "left")
-    reason = (
-        F.when(F.col("mark") != "", F.col("mark"))
-        .when(F.col("copied"), F.lit("copy"))
-        .when(F.col("shape") & (F.col("score") >= CANDIDATE), F.when(F.col("word_share") < LITERAL, F.lit("data")).otherwise(F.lit("minified")))
-        .otherwise(F.lit(""))
-    )
+    reason = F.when(F.col("mark") != "", F.col("mark")).when(F.col("copied"), F.lit("copy")).when(F.col("score") >= MACHINE, F.lit("machine")).otherwise(F.lit(""))
     return seen.withColumn("reason", reason).groupBy("project_id", "path").agg(F.max("reason").alias("reason"), F.round(F.max("score"), 6).alias("score"))

@@ -2,6 +2,7 @@
 
 import ast
 import json
+import re
 import shutil
 import subprocess
 import warnings
@@ -204,23 +205,44 @@ def test_p7_cases(spark):
         ("p", "src/null.py", "python", None), ("p", "dist/null.js", "javascript", None), ("p", "src/empty.py", None, ""), ("p", "src/a.py", "python", HAND.format("alpha")),
         ("p", "src/c.js", "javascript", '"use strict";\nObject.defineProperty(exports, "__esModule", { value: true });\nexports.a = 1;\n'), ("p", "src/mit.go", "go", "/*\n * Part of the abc project, release 1.2. Redistributed under BSD-3-Clause.\n */\npackage a\n"),
     ]
+    # What tools signed teaches the forest what their output looks like; the hand-written files around it are its opposite.
+    files += [("r", f"src/signed{k}.js", "javascript", mini.replace("t[", f"t{k}[") + f"\n//# sourceMappingURL=m{k}.js.map\n") for k in range(12)]
+    files += [("r", f"src/hand{k}.{x}", lang, "".join(HAND.format(f"name_{k}_{j}") for j in range(2 + k % 5))) for k in range(40) for x, lang in [("py", "python")]]
     df = spark.createDataFrame([(*f, None, 1.0) for f in files], "project_id string, path string, language string, content string, node_count int, score double")
     found = {(r["project_id"], r["path"]): r["reason"] for r in provenance.provenance(df).collect()}
-    assert {k for k, v in found.items() if v} == {("p", x) for x in ("src/gen.py", "src/late.js", "vendor/x/lib.py", "src/copy.py", "src/blob.py", "src/m.js", "x.min.js", "dist/null.js", "src/c.js", "src/mit.go")}
-    assert found["p", "src/copy.py"] == "copy" and found["p", "src/blob.py"] == "data" and found["p", "src/m.js"] == "minified"
+    assert {k for k, v in found.items() if v and k[0] != "r"} == {("p", x) for x in ("src/gen.py", "src/late.js", "vendor/x/lib.py", "src/copy.py", "src/blob.py", "src/m.js", "x.min.js", "dist/null.js", "src/c.js", "src/mit.go")}
+    assert found["p", "src/copy.py"] == "copy" and found["p", "src/blob.py"] == "machine" and found["p", "src/m.js"] == "machine"
+    assert {k for k, v in found.items() if v and k[0] == "r"} == {("r", f"src/signed{k}.js") for k in range(12)}
     assert rows(provenance.provenance(df.limit(0))) == set()
 
 
-def test_p7_forest_ranks_held_out_files(spark, data):
-    """Trained on some projects, the forest ranks the machine-made shape first in the others."""
+def plainly_machine_made(text, language):
+    """A judge of its own for the test: one very long dense line, or hardly any words outside of literals."""
+    code, _, inside = provenance.split_text(text, language)
+    longest = max((len(x) for x in code.split("\n")), default=0)
+    solid = len("".join(code.split())) + inside
+    letters = sum(len(w) for w in re.findall(r"\b[^\W\d]\w*", code))
+    return (longest >= 200 and sum(c.isspace() for c in code) < 0.2 * len(code)) or (solid >= 300 and letters < 0.3 * solid)
+
+
+def test_p7_forest_finds_files_of_held_out_projects(spark, data):
     from pyspark.sql import functions as F
 
-    every = provenance.measured(spark.read.parquet(data.replace("sf0.01", "sf0.1") + "/source_files.parquet")).cache()
     half = F.pmod(F.xxhash64("project_id"), F.lit(2))
-    scored = provenance.score(every.filter(half == 1), every.filter(half == 0)).filter(F.col("mark") == "").select("shape", "score").collect()
-    pos, neg = [r.score for r in scored if r.shape], [r.score for r in scored if not r.shape]
-    auc = np.mean([[p > n for n in neg[:500]] for p in pos])
-    assert auc > 0.98 and np.mean([p >= provenance.CANDIDATE for p in pos]) > 0.98
+    files = spark.read.parquet(data.replace("sf0.01", "sf0.1") + "/source_files.parquet").dropDuplicates(["project_id", "path"])
+    truth = {(r["project_id"], r["path"]): plainly_machine_made(r["content"] or "", r["language"]) for r in files.collect()}
+    every = provenance.measured(files).cache()
+    scored = provenance.score(every.filter(half == 1), every.filter(half == 0)).filter(F.col("mark") == "").select("project_id", "path", "score").collect()
+    found = [truth[r[0], r[1]] for r in scored if r["score"] >= provenance.MACHINE]
+    wanted = sum(truth[r[0], r[1]] for r in scored)
+    assert wanted > 30 and sum(found) >= 0.9 * wanted and sum(found) >= 0.95 * len(found)
+
+
+def test_p7_made_examples_are_no_texts_of_the_corpus():
+    from quern.llm.made_data import made_data
+
+    made = made_data(70)
+    assert made == made_data(70) and len({m[1] for m in made}) == 8 and all(len(m[0]) > 300 for m in made)
 
 
 # ------------------------------------------------------------------ problem 8
