@@ -1,10 +1,13 @@
 """Problems 1, 3, 5, 6 against brute force, and their defined edge cases."""
 
 import json
+import random
 from collections import defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quern.operators import change_feed, hierarchy, nested_records, schema_drift
 from quern.plans import p_general
@@ -169,6 +172,40 @@ def test_p3_base_rows(spark):
     assert {r[0] for r in again.select("record_id").collect()} == {"a", "n", "q", "b"}
 
 
+def test_p3_a_late_change_brings_nothing_back(spark):
+    made, said, late = ("session.created.1", 1, '{"sessionID":"a","info":{"id":"a"}}'), ("message.updated.1", 2, '{"sessionID":"a","info":{"id":"m"}}'), ("message.updated.1", 3, '{"sessionID":"a","info":{"id":"m"}}')
+    gone = ("message.removed.1", 5, '{"sessionID":"a","messageID":"m"}')
+    feed = lambda *ops: spark.createDataFrame([(f"e{n}", "a", n, op, data, "2024-01-01 00:00:00") for op, n, data in ops], "id string, aggregate_id string, seq long, type string, data string, received_at string")
+    before = change_feed.retained(feed(made, said, gone))
+    after = change_feed.retained(feed(late), before)
+    assert rows(change_feed.live(after).select("record_id", "last_seq")) == {("a", 1)}
+    base = spark.createDataFrame([("a", "message", "b", "a", "{}")], "aggregate_id string, kind string, record_id string, parent_id string, payload string")
+    assert rows(change_feed.live(change_feed.retained(feed(made, late), base=base), True).select("record_id", "last_seq", "payload")) == {("a", 1, '{"id":"a"}'), ("m", 3, '{"id":"m"}')}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_p3_every_split_of_a_feed_gives_the_whole(spark, seed):
+    rnd = random.Random(seed)
+    feed = []
+    for i in range(400):
+        s, m, p = (f"{k}{rnd.randint(0, n)}" for k, n in (("s", 2), ("m", 5), ("p", 9)))
+        op = rnd.choice(["session.created", "session.updated", "message.updated", "message.updated", "message.part.updated", "message.part.updated", "message.removed", "message.part.removed", "session.deleted" if rnd.random() < 0.3 else "session.created"])
+        data = {"sessionID": s, "info": {"id": m if op.startswith("message.u") else s, "n": i}, "messageID": m, "part": {"id": p, "messageID": m, "n": i}}
+        if op.startswith("session.") or op == "message.updated":
+            data.pop("messageID"), data.pop("part")
+        feed.append((f"e{i}", f"a{rnd.randint(0, 2)}", i, op + ".1", json.dumps(data), f"2024-01-01 00:00:{rnd.randint(10, 59)}"))
+    feed += rnd.sample(feed, 60)
+    rnd.shuffle(feed)
+    df = lambda part: spark.createDataFrame(part, "id string, aggregate_id string, seq long, type string, data string, received_at string")
+    whole = rows(change_feed.apply_changes(df(feed), True))
+    assert len(whole) > 5
+    kept = None
+    for n in range(4):
+        kept = change_feed.retained(df(feed[n::4]), kept)
+    assert rows(change_feed.live(kept, True)) == whole
+    assert kept.count() < len(feed) - 60
+
+
 def test_p5_cases(spark):
     links = [("r", None, 1), ("a", "r", 1), ("b", "a", 1), ("b", "r", 0), ("c", "x", 1), ("e", "", 1), ("l", "l", 1), ("m", "l", 1), ("n", "m", 1), (None, "r", 1), ("a", "r", 1), ("p", "q", 1), ("q", "p", 1)]
     df = spark.createDataFrame([(*x, "clash") for x in links], "id string, parent_id string, time_updated long, path string")
@@ -288,3 +325,56 @@ def test_p5_random_links(spark):
     for n in tree:
         below = {m.id for m in tree if m.root_id == n.root_id and n.lft < m.lft <= n.rgt}
         assert below == {m.id for m in tree if m.path.startswith(n.path + "/")} and len(below) == n.descendants
+
+
+def fully_unwrapped(v):
+    v = nested_records.unwrap(v)
+    if isinstance(v, dict):
+        return {k: fully_unwrapped(x) for k, x in v.items()}
+    return [fully_unwrapped(x) for x in v] if isinstance(v, list) else v
+
+
+JSON_VALUES = st.recursive(
+    st.none() | st.booleans() | st.integers(-(10**20), 10**20) | st.floats(allow_nan=False, allow_infinity=False) | st.text(st.characters(), max_size=8) | st.sampled_from(['{"a": [1, {"b": "[]"}]}', "[", "{x", " [null]"]),
+    lambda inner: st.lists(inner, max_size=4) | st.dictionaries(st.text(st.sampled_from("ab.[]0\ud800"), max_size=3), inner, max_size=4),
+    max_leaves=20,
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(JSON_VALUES)
+def test_p6_tables_give_the_record_back(value):
+    made = list(nested_records.node_rows(value))
+    random.Random(1).shuffle(made)
+    assert nested_records.rebuild(made) == fully_unwrapped(value)
+
+
+def test_p6_tables_of_the_data_give_every_record_back(spark, data):
+    got = defaultdict(list)
+    for r in p_general.p6_tables(spark, data).collect():
+        if r["table_name"] == "audit_run":
+            got[r["column_name"], r["row_id"]].append(tuple(r)[3:])
+    seen = defaultdict(set)
+    for r in load(data, "audit_run"):
+        for col in ("obligations_json", "payload_json"):
+            if parsed(r[col]) is not None:
+                seen[col, r["id"]].add(r[col])
+    once = {k for k, texts in seen.items() if len(texts) == 1}
+    assert len(once) > 30 and set(got) == set(seen)
+    for k in once:
+        assert nested_records.rebuild(got[k]) == fully_unwrapped(parsed(next(iter(seen[k]))))
+
+
+def test_p6_rows_of_every_part(spark):
+    text = json.dumps({"id": 1, "m": {"x": 2}, "arr": [1, 2], "items": [{"k": 1, "o": {"deep": 5}, "tags": ["a"]}], "e": [], "n": None})
+    df = spark.createDataFrame([("r", text), ("cut", '{"a": ['), ("null", None), ("plain", "7"), ("half", '{"\\ud800": [{}]}')], "id string, j string")
+    got = {(r["row_id"], r["schema_path"], r["path"], r["members"], r["value"]) for r in nested_records.nodes(df, "id", "j").collect()}
+    want = {("", "", '{"id": 1, "n": null}', None), ("m", "m", '{"x": 2}', None), ("arr", "arr", None, None), ("arr[]", "arr[0]", None, "1"), ("arr[]", "arr[1]", None, "2"), ("items", "items", None, None), ("items[]", "items[0]", '{"k": 1}', None), ("items[].o", "items[0].o", '{"deep": 5}', None), ("items[].tags", "items[0].tags", None, None), ("items[].tags[]", "items[0].tags[0]", None, '"a"'), ("e", "e", None, None)}
+    assert {g[1:] for g in got if g[0] == "r"} == want
+    assert {g[1:] for g in got if g[0] == "plain"} == {("", "", None, "7")} and not {g for g in got if g[0] in ("cut", "null")} and {g[2] for g in got if g[0] == "half"} == {"", "\\ud800", "\\ud800[0]"}
+
+
+def test_p6_brackets_written_as_escapes(spark):
+    df = spark.createDataFrame([("r", '{"p":"\\u005b{}]"}'), ("s", '{"p":"\\u005cu005b{}]"}')], "id string, j string")
+    assert rows(nested_records.flatten(df, "id", "j").select("row_id", "child_path")) == {("r", "p[0]")}
+    assert df.filter(nested_records.may_hold_array("j")).count() == 2
