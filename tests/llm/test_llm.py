@@ -2,6 +2,7 @@
 
 import ast
 import json
+import random
 import re
 import shutil
 import subprocess
@@ -274,6 +275,23 @@ def test_p8_any_text(texts):
     assert worker.encode(texts) == [enc.encode_ordinary(t) if t else [] for t in texts]
 
 
+@pytest.mark.parametrize("name", ["letters", "blob", "same", "pair", "joined words", "no spaces"])
+def test_p8_long_words(data, name):
+    rnd = random.Random(name)
+    texts = [r["text"] for r in load(data, "documents") if r["text"]]
+    word = {
+        "letters": lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)),
+        "blob": lambda: "".join(rnd.choice("abcXYZ0189+/qwEF") for _ in range(200_000)),
+        "same": lambda: "a" * 1_000_000,
+        "pair": lambda: "=-" * 100_000,
+        "joined words": lambda: "".join(w for t in texts[:200] for w in t.split() if w.isalpha() and w.isascii()),
+        "no spaces": lambda: "".join(c for t in texts for c in t if ord(c) > 0x3000)[:60_000],
+    }[name]()
+    worker = tokenization.encoder(f"{tokenization.TOKENIZER_DIR}/{tokenization.VOCABULARY}")
+    assert worker.encode([word, None, word[:70]]) == [reference_encoding().encode_ordinary(word), [], reference_encoding().encode_ordinary(word[:70])]
+    assert not [w for w in worker.known if len(w) > tokenization.LONG]
+
+
 def test_p8_forgets_and_goes_on(monkeypatch):
     enc = reference_encoding()
     monkeypatch.setattr(tokenization, "REMEMBERED", 3)
