@@ -1,14 +1,20 @@
 """Trees from parent links as nested-set ranges (general problem 5).
 
-Upward: leaves are peeled off level by level and hand their subtree sizes to
-their parents; what is never peeled lies on a cycle. Downward: siblings get
-disjoint preorder offsets by prefix sums of their sizes, and pointer doubling
-adds the offsets up along the way to the root, so the number of rounds is the
-logarithm of the depth. Descendants of v are then the nodes of the same root
-with preorder in (lft, rgt], its ancestors those whose range holds lft.
-
-A parent with very many children never meets in one task: sizes and offsets
-are summed per bucket of children first.
+Upward: pointers double, and in each round every node hands its size so far to
+the node its pointer names, so after k rounds a node knows how many nodes lie
+less than 2^k below it. Downward: siblings get disjoint preorder offsets by
+prefix sums of their sizes, and doubled pointers add the offsets up along the
+way to the root. Both take as many rounds as the logarithm of the depth, for a
+chain of 100,000 nodes 18. Nodes whose pointer never runs off a root lie on
+or below a cycle: when a round frees no node, none of those left is in a tree,
+for a deeper node would have had an ancestor to free.
+
+Descendants of v are the nodes of the same root with preorder in (lft, rgt],
+its ancestors those whose range holds lft. Ranges are cut into aligned blocks
+for an equi-join that meets results only, so one large tree is spread too.
+
+A parent with very many children never meets in one task: sizes are summed
+before the shuffle, offsets per bucket of children.
 
 Defined results: of repeated ids the row with the greatest version counts
 (ties: the greatest parent, null lowest); a null id is dropped; a null, empty
@@ -34,33 +40,44 @@ def latest_links(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id
     return one.join(ids, one.parent == ids.known, "left").select("id", F.col("known").alias("parent"))
 
 
-def subtree_sizes(links: DataFrame) -> DataFrame:
-    """(id, parent, size) of every node that isn't on a cycle, peeled from the leaves; rounds: the height of the trees."""
-    salted = links.filter(F.col("parent").isNotNull()).groupBy("parent", F.pmod(F.hash("id"), F.lit(BUCKETS)).alias("b")).count()
-    fan = salted.groupBy("parent").agg(F.sum("count").alias("children")).withColumnRenamed("parent", "id")
-    nodes = cut(links.join(fan, "id", "left").select("id", "parent", F.coalesce("children", F.lit(0)).alias("children")))
-    ready = nodes.filter("children = 0").select("id", "parent", F.lit(1).cast("long").alias("size"))
-    done, waiting, rounds = [ready], None, 0
+def _jump(hops: DataFrame, fields: list[str], joined: dict) -> DataFrame:
+    """Each row with a pointer takes over that of the row it points at; joined gives the other columns from t_ ones.
+
+    Rows without a pointer (most, after a few rounds) stay out of the join, whose null keys would meet in one task.
+    """
+    target = hops.select(F.col("id").alias("t"), *[F.col(c).alias(f"t_{c}") for c in ["up", *fields]])
+    moving = hops.filter(F.col("up").isNotNull())
+    moved = moving.join(target, moving.up == target.t).select("id", F.col("t_up").alias("up"), *[joined[c].alias(c) for c in fields])
+    return hops.filter(F.col("up").isNull()).select("id", "up", *fields).unionByName(moved)
+
+
+def subtree_sizes(links: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(sizes, left, rounds): sizes(id, size) of the nodes of trees; left(id, parent) those on or below a cycle, None if there are none; rounds that free all of the former."""
+    hops = cut(links.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")))
+    before, rounds = -1, 0
+    while (waiting := hops.filter(F.col("up").isNotNull()).count()) not in (0, before):
+        before, rounds = waiting, rounds + 1
+        handed = hops.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        moved = _jump(hops, ["size"], {"size": F.col("size")})
+        hops = cut(moved.join(handed, "id", "left").select("id", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+    if not waiting:
+        return hops.select("id", "size"), None, rounds
+    # The last round freed nobody.
+    return hops.filter(F.col("up").isNull()).select("id", "size"), cut(links.join(hops.filter(F.col("up").isNotNull()).select("id"), "id", "left_semi")), rounds - 1
+
+
+def on_cycles(left: DataFrame) -> DataFrame:
+    """ids of the nodes that are their own ancestors, of links that never reach a root.
+
+    Those that some node's doubled pointer names; when a round makes them no fewer, no node of a tail is left.
+    """
+    hops, before = left.select("id", F.col("parent").alias("up")), -1
     while True:
-        handed = ready.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("got"), F.sum("size").alias("below"))
-        if waiting is not None:
-            handed = waiting.unionByName(handed).groupBy("id").agg(F.sum("got").alias("got"), F.sum("below").alias("below"))
-        state = cut(handed.join(nodes, "id").withColumn("full", F.col("got") == F.col("children")))
-        waiting = state.filter(~F.col("full")).select("id", "got", "below")
-        ready = state.filter("full").select("id", "parent", (F.col("below") + 1).alias("size"))
-        rounds += 1
-        if ready.isEmpty():
-            break
-        done.append(ready)
-        if rounds % 16 == 0:
-            done = [cut(_union(done))]
-    return _union(done)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    while len(parts) > 1:
-        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
+        named = cut(hops.select(F.col("up").alias("id")).distinct())
+        if (n := named.count()) == before:
+            return named
+        before = n
+        hops = cut(_jump(hops, [], {}))
 
 
 def sibling_offsets(sized: DataFrame) -> DataFrame:
@@ -83,39 +100,60 @@ def nested_sets(links: DataFrame) -> DataFrame:
     cycle have root_id and path '', depth -1 and null places.
     """
     links = cut(links)
-    sized = cut(subtree_sizes(links))
-    cyclic = cut(links.join(sized.select("id"), "id", "left_anti").select("id"))
-    placed = sibling_offsets(sized)
-    # A pointer ends at a root (up null) or at a node of a cycle, which has no row here.
-    hops = cut(placed.select("id", "size", F.col("parent").alias("up"), "step", F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("depth"), F.col("id").alias("path"), F.coalesce("parent", "id").alias("top")))
-    while True:
-        target = hops.select(F.col("id").alias("t"), F.col("up").alias("t_up"), F.col("step").alias("t_step"), F.col("depth").alias("t_depth"), F.col("path").alias("t_path"), F.col("top").alias("t_top"))
-        if hops.filter(F.col("up").isNotNull()).isEmpty():
-            break
-        met = F.col("t").isNotNull()
-        nxt = hops.join(target, hops.up == target.t, "left").select(
-            "id", "size", F.col("t_up").alias("up"),
-            (F.col("step") + F.coalesce("t_step", F.lit(0))).alias("step"),
-            (F.col("depth") + F.coalesce("t_depth", F.lit(0))).alias("depth"),
-            F.when(met, F.concat_ws("/", "t_path", "path")).otherwise(F.col("path")).alias("path"),
-            F.when(met, F.col("t_top")).otherwise(F.col("top")).alias("top"),
-        )
-        hops = cut(nxt)
-    in_tree = hops.join(cyclic.select(F.col("id").alias("top"), F.lit(True).alias("cyc")), "top", "left")
-    ok = F.col("cyc").isNull()
-    trees = in_tree.select(
-        "id", F.when(ok, F.lit(TREE)).otherwise(F.lit(BELOW_CYCLE)).alias("state"),
-        F.when(ok, F.col("top")).otherwise(F.lit("")).alias("root_id"),
-        F.when(ok, F.col("depth")).otherwise(F.lit(-1)).cast("int").alias("depth"),
-        F.when(ok, F.col("path")).otherwise(F.lit("")).alias("path"),
-        F.when(ok, F.col("step")).alias("lft"), F.when(ok, F.col("step") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("descendants"),
+    sizes, left, rounds = subtree_sizes(links)
+    placed = sibling_offsets(cut(links.join(sizes, "id")))
+    child = F.col("parent").isNotNull()
+    hops = cut(placed.select("id", F.col("parent").alias("up"), "size", "step", F.when(child, 1).otherwise(0).alias("depth"), F.col("id").alias("path"), F.coalesce("parent", "id").alias("root_id")))
+    add = lambda c: F.col(c) + F.col(f"t_{c}")
+    for _ in range(rounds):
+        hops = cut(_jump(hops, ["size", "step", "depth", "path", "root_id"], {"size": F.col("size"), "step": add("step"), "depth": add("depth"), "path": F.concat_ws("/", "t_path", "path"), "root_id": F.col("t_root_id")}))
+    trees = hops.select("id", F.lit(TREE).alias("state"), "root_id", F.col("depth").cast("int").alias("depth"), "path", F.col("step").alias("lft"), (F.col("step") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("descendants"))
+    if left is None:
+        return trees
+    none = F.lit(None).cast("long")
+    cyclic = left.join(on_cycles(left).withColumn("own", F.lit(True)), "id", "left").select(
+        "id", F.when(F.col("own"), F.lit(ON_CYCLE)).otherwise(F.lit(BELOW_CYCLE)).alias("state"), F.lit("").alias("root_id"), F.lit(-1).alias("depth"), F.lit("").alias("path"), none.alias("lft"), none.alias("rgt"), none.alias("descendants"),
     )
-    loops = cyclic.select("id", F.lit(ON_CYCLE).alias("state"), F.lit("").alias("root_id"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit(None).cast("long").alias("lft"), F.lit(None).cast("long").alias("rgt"), F.lit(None).cast("long").alias("descendants"))
-    return trees.unionByName(loops)
+    return trees.unionByName(cyclic)
+
+
+#: Bits by which an aligned block grows from level to level.
+BITS = 4
+#: The aligned blocks (level, block) that make up the range from lo to hi: at each level those that no larger one within the range holds.
+_BLOCKS = f"""
+flatten(transform(sequence(0, top), l -> transform(
+  CASE WHEN (lo + shiftleft(1L, {BITS} * l) - 1) DIV shiftleft(1L, {BITS} * l) > (hi + 1) DIV shiftleft(1L, {BITS} * l) - 1 THEN array()
+       WHEN (lo + shiftleft(1L, {BITS} * (l + 1)) - 1) DIV shiftleft(1L, {BITS} * (l + 1)) > (hi + 1) DIV shiftleft(1L, {BITS} * (l + 1)) - 1
+       THEN sequence((lo + shiftleft(1L, {BITS} * l) - 1) DIV shiftleft(1L, {BITS} * l), (hi + 1) DIV shiftleft(1L, {BITS} * l) - 1)
+       ELSE filter(sequence((lo + shiftleft(1L, {BITS} * l) - 1) DIV shiftleft(1L, {BITS} * l), shiftleft((lo + shiftleft(1L, {BITS} * (l + 1)) - 1) DIV shiftleft(1L, {BITS} * (l + 1)), {BITS})), b -> b < shiftleft((lo + shiftleft(1L, {BITS} * (l + 1)) - 1) DIV shiftleft(1L, {BITS} * (l + 1)), {BITS}))
+         || filter(sequence(shiftleft((hi + 1) DIV shiftleft(1L, {BITS} * (l + 1)), {BITS}) - 1, (hi + 1) DIV shiftleft(1L, {BITS} * l) - 1), b -> b >= shiftleft((hi + 1) DIV shiftleft(1L, {BITS} * (l + 1)), {BITS}))
+  END, b -> struct(l AS level, b AS block))))
+"""
 
 
-def descendants(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """(ancestor, descendant) for the nodes named in of(id), by range containment within a root."""
-    top = of.select("id").distinct().join(nodes.filter(F.col("state") == TREE), "id").select(F.col("id").alias("ancestor"), "root_id", F.col("lft").alias("a_lft"), F.col("rgt").alias("a_rgt"))
-    low = nodes.filter(F.col("state") == TREE).select(F.col("id").alias("descendant"), "root_id", "lft")
-    return low.join(top, "root_id").filter((F.col("lft") > F.col("a_lft")) & (F.col("lft") <= F.col("a_rgt"))).select("ancestor", "descendant")
+def contained(ranges: DataFrame, points: DataFrame) -> DataFrame:
+    """ranges(root_id, lo, hi, ..) with the points(root_id, at, ..) that they hold.
+
+    A range of any length is at most 30 blocks a level, a point one; pairs that don't belong together never meet.
+    """
+    longest = ranges.agg(F.max(F.col("hi") - F.col("lo") + 1)).first()[0] or 1
+    top = (int(longest).bit_length() - 1) // BITS
+    cutting = ranges.filter("lo <= hi").withColumn("top", F.lit(top)).withColumn("b", F.explode(F.expr(_BLOCKS))).select("*", "b.level", "b.block").drop("b", "top", "lo", "hi")
+    placed = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("block", F.expr(f"shiftright(at, {BITS} * level)")).drop("at")
+    return placed.join(cutting, ["root_id", "level", "block"]).drop("level", "block")
+
+
+def descendants(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(ancestor, descendant, steps) of the nodes named in of(id), else of all."""
+    trees = nodes.filter(F.col("state") == TREE)
+    asked = trees if of is None else trees.join(of.select("id").distinct(), "id", "left_semi")
+    ranges = asked.filter("descendants > 0").select("root_id", F.col("id").alias("ancestor"), F.col("depth").alias("a_depth"), (F.col("lft") + 1).alias("lo"), F.col("rgt").alias("hi"))
+    return contained(ranges, trees.select("root_id", F.col("lft").alias("at"), F.col("id").alias("descendant"), "depth")).select("ancestor", "descendant", (F.col("depth") - F.col("a_depth")).alias("steps"))
+
+
+def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """(descendant, ancestor, steps) of the nodes named in of(id)."""
+    trees = nodes.filter(F.col("state") == TREE)
+    points = trees.join(of.select("id").distinct(), "id", "left_semi").select("root_id", F.col("lft").alias("at"), F.col("id").alias("descendant"), "depth")
+    ranges = trees.filter("descendants > 0").select("root_id", F.col("id").alias("ancestor"), F.col("depth").alias("a_depth"), (F.col("lft") + 1).alias("lo"), F.col("rgt").alias("hi"))
+    return contained(ranges, points).select("descendant", "ancestor", (F.col("depth") - F.col("a_depth")).alias("steps"))

@@ -38,9 +38,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select(F.col("id").alias("session_id"), "state", "root_id", "depth", "path")
 
 
+def _trees(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.nested_sets(hierarchy.latest_links(table(spark, d, "agent_session")))
+
+
 def p5_ranges(spark: SparkSession, d: str) -> DataFrame:
-    nodes = hierarchy.nested_sets(hierarchy.latest_links(table(spark, d, "agent_session")))
-    return nodes.filter(F.col("state") == hierarchy.TREE).select(F.col("id").alias("session_id"), "root_id", "depth", "descendants")
+    return _trees(spark, d).filter(F.col("state") == hierarchy.TREE).select(F.col("id").alias("session_id"), "root_id", "depth", "descendants")
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All sessions below each session, by its nested-set range."""
+    return hierarchy.descendants(_trees(spark, d)).select(F.col("ancestor").alias("session_id"), F.col("descendant").alias("descendant_id"), "steps")
+
+
+def p5_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """All sessions above each archived session, by the ranges that hold it."""
+    archived = table(spark, d, "agent_session").filter(F.col("time_archived").isNotNull()).select("id")
+    return hierarchy.ancestors(_trees(spark, d), archived).select(F.col("descendant").alias("session_id"), F.col("ancestor").alias("ancestor_id"), "steps")
 
 
 #: (table, id, json column, version column or None)
@@ -88,6 +102,8 @@ QUERIES = {
     "p3_retained": p3_retained,
     "p5_found": p5_found,
     "p5_ranges": p5_ranges,
+    "p5_descendants": p5_descendants,
+    "p5_ancestors": p5_ancestors,
     "p6_found": p6_found,
     "p6_tables": p6_tables,
     "p6_catalogue": p6_catalogue,
@@ -187,5 +203,10 @@ UNION ALL SELECT id, CASE WHEN bool_or(a = id) THEN 'on_cycle' ELSE 'below_cycle
     "p5_ranges": f"""WITH RECURSIVE {_TREE}
 SELECT x.id AS session_id, x.root_id, CAST(x.depth AS INTEGER) AS depth, count(y.id) AS descendants
 FROM t x LEFT JOIN t y ON y.root_id = x.root_id AND starts_with(y.path, x.path || '/') GROUP BY ALL""",
+    "p5_descendants": f"""WITH RECURSIVE {_TREE}
+SELECT x.id AS session_id, y.id AS descendant_id, y.depth - x.depth AS steps FROM t x JOIN t y ON y.root_id = x.root_id AND starts_with(y.path, x.path || '/')""",
+    "p5_ancestors": f"""WITH RECURSIVE {_TREE}
+SELECT y.id AS session_id, x.id AS ancestor_id, y.depth - x.depth AS steps FROM t x JOIN t y ON y.root_id = x.root_id AND starts_with(y.path, x.path || '/')
+WHERE y.id IN (SELECT id FROM agent_session WHERE time_archived IS NOT NULL)""",
 }
 ORACLE = {k: _unwrapped(v) for k, v in ORACLE.items()}

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from quern.operators import change_feed, hierarchy, nested_records, schema_drift
 from quern.plans import p_general
+from quern.plans.checkpoints import cut
 
 
 def rows(df):
@@ -213,10 +214,31 @@ def test_p5_cases(spark):
     got = {r[0]: tuple(r)[1:] for r in nodes.select("id", "state", "root_id", "depth", "path", "descendants").collect()}
     assert got["b"] == ("tree", "r", 2, "r/a/b", 0) and got["r"] == ("tree", "r", 0, "r", 2) and got["c"][:4] == ("tree", "c", 0, "c") and got["e"][0] == "tree"
     assert {k for k, v in got.items() if v[0] == "on_cycle"} == {"l", "p", "q"} and {k for k, v in got.items() if v[0] == "below_cycle"} == {"m", "n"}
-    assert rows(hierarchy.descendants(nodes, spark.createDataFrame([("r",), ("a",)], "id string"))) == {("r", "a"), ("r", "b"), ("a", "b")}
+    assert rows(hierarchy.descendants(nodes, spark.createDataFrame([("r",), ("a",)], "id string"))) == {("r", "a", 1), ("r", "b", 2), ("a", "b", 1)}
+    assert rows(hierarchy.ancestors(nodes, spark.createDataFrame([("b",), ("l",), ("b",)], "id string"))) == {("b", "a", 1), ("b", "r", 2)}
     assert rows(hierarchy.nested_sets(hierarchy.latest_links(df.limit(0)))) == set()
 
 
+def test_p5_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    jobs = []
+    monkeypatch.setattr(hierarchy, "cut", lambda df: (jobs.append(1), cut(df))[1])
+    n = 3000
+    df = spark.range(n).selectExpr("cast(id as string) id", "case when id % 1000 > 0 then cast(id - 1 as string) end parent_id", "1L time_updated").unionByName(spark.createDataFrame([("x", "y", 1), ("y", "x", 1), ("0", "2999", 2), ("1000", "999", 2)], "id string, parent_id string, time_updated long"))
+    sizes, left, rounds = hierarchy.subtree_sizes(hierarchy.latest_links(df))
+    # 0 to 1999 hang under 2999, a chain of 3000 nodes; x and y are a cycle.
+    got = dict(sizes.collect())
+    assert got["2000"] == 3000 and got["0"] == 2000 and got["1999"] == 1 and rows(left.select("id")) == {("x",), ("y",)} and rounds == 12 and len(jobs) < 18
+
+
+def test_p5_blocks_make_up_the_range(spark):
+    rnd = random.Random(3)
+    spans = [(1, 1), (0, 15), (1, 4096), (5, 4), (16, 271)] + [(a, a + rnd.randint(0, 10 ** rnd.randint(0, 4))) for a in (rnd.randint(0, 5000) for _ in range(200))]
+    ranges = spark.createDataFrame([("r", a, b, i) for i, (a, b) in enumerate(spans)], "root_id string, lo long, hi long, n int")
+    points = sorted({rnd.randint(0, 16000) for _ in range(400)})
+    got = [tuple(r) for r in hierarchy.contained(ranges, spark.createDataFrame([("r", p, p) for p in points] + [("q", 3, 3)], "root_id string, at long, p long")).select("n", "p").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, p) for i, (a, b) in enumerate(spans) for p in points if a <= p <= b}
+
+
 def test_p5_wide_parent(spark):
     df = spark.range(500).selectExpr("cast(id as string) id", "case when id > 0 then '0' end parent_id", "1L time_updated")
     nodes = hierarchy.nested_sets(hierarchy.latest_links(df))
