@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.checkpoints import cut, tidy
+from quern.plans.checkpoints import cut, release
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -41,11 +41,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
     edges = links.filter("u <> v").select("u", "v")
+    before = None
     while True:
         edges = cut(_small_star(_large_star(edges)))
+        if before is not None:
+            release(before)
         if _are_stars(edges):
             break
-        tidy(edges.sparkSession)
+        before = edges
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     linked = leaves.unionByName(centres)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.plans.checkpoints import cut
+from quern.plans.checkpoints import cut, release
 
 TREE, ON_CYCLE, BELOW_CYCLE = "tree", "on_cycle", "below_cycle"
 BUCKETS = 64
@@ -59,7 +59,8 @@ def subtree_sizes(links: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
         before, rounds = waiting, rounds + 1
         handed = hops.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
         moved = _jump(hops, ["size"], {"size": F.col("size")})
-        hops = cut(moved.join(handed, "id", "left").select("id", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        last, hops = hops, cut(moved.join(handed, "id", "left").select("id", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        release(last)
     if not waiting:
         return hops.select("id", "size"), None, rounds
     # The last round freed nobody.
@@ -106,7 +107,8 @@ def nested_sets(links: DataFrame) -> DataFrame:
     hops = cut(placed.select("id", F.col("parent").alias("up"), "size", "step", F.when(child, 1).otherwise(0).alias("depth"), F.col("id").alias("path"), F.coalesce("parent", "id").alias("root_id")))
     add = lambda c: F.col(c) + F.col(f"t_{c}")
     for _ in range(rounds):
-        hops = cut(_jump(hops, ["size", "step", "depth", "path", "root_id"], {"size": F.col("size"), "step": add("step"), "depth": add("depth"), "path": F.concat_ws("/", "t_path", "path"), "root_id": F.col("t_root_id")}))
+        last, hops = hops, cut(_jump(hops, ["size", "step", "depth", "path", "root_id"], {"size": F.col("size"), "step": add("step"), "depth": add("depth"), "path": F.concat_ws("/", "t_path", "path"), "root_id": F.col("t_root_id")}))
+        release(last)
     trees = hops.select("id", F.lit(TREE).alias("state"), "root_id", F.col("depth").cast("int").alias("depth"), "path", F.col("step").alias("lft"), (F.col("step") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("descendants"))
     if left is None:
         return trees

@@ -112,7 +112,7 @@ FOUND = "row_id string, parent_path string, child_path string, schema_path strin
 NODES = "row_id string, label string, parent_label string, parent_path string, path string, schema_path string, kind string, key string, ordinal int, members string, value string"
 
 
-def _column(values: list, kind: pa.DataType) -> pa.Array:
+def text_array(values: list, kind: pa.DataType) -> pa.Array:
     try:
         return pa.array(values, kind)
     except UnicodeEncodeError:  # halves of a surrogate pair
@@ -125,7 +125,7 @@ def _pass(rows_of, ddl: str):
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*out)) or [()] * len(schema)
-        return pa.RecordBatch.from_arrays([_column(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+        return pa.RecordBatch.from_arrays([text_array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:

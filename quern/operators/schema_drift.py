@@ -6,7 +6,8 @@ the shuffle. Within a producer's stream of files, lag and lead over the file
 ordinals cut the presence of each (path, type) into islands; where an island
 begins or ends, a change is logged. Pairs of an ending and a beginning whose
 values agree on all records that both files share are renames and make the
-alias table, from which the casts to one consistent table follow.
+alias table. From it and the types of each field's lifespans the casts of one
+typed table per entity are generated.
 
 Only paths that changed are looked up again in the records, so the second pass
 moves a few values and not the records.
@@ -14,7 +15,8 @@ moves a few values and not the records.
 Defined results: lines that are no JSON objects (null, empty, damaged) count
 for nothing, records with a null id take no part in renames, a file without
 any usable line keeps its place in the order and loses all paths, equal
-exported_at is ordered by file name, repeated lines count once.
+exported_at is ordered by file name, lines repeated in a file count once.
+Records with a null id are rows of the typed tables like any other.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.nested_records import strict_json
+from quern.operators.nested_records import strict_json, text_array
 from quern.plans.checkpoints import cut
 
 STREAM = ["exporter", "entity"]
@@ -55,22 +57,23 @@ def leaves(record: dict) -> Iterator[tuple[str, str, object]]:
 
 
 def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    return pa.RecordBatch.from_arrays([text_array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-_FOOT = pa.schema([("exporter", pa.string()), ("entity", pa.string()), ("dump_file", pa.string()), ("path", pa.string()), ("type", pa.string()), ("n", pa.int64())])
+_FOOT = pa.schema([("exporter", pa.string()), ("entity", pa.string()), ("dump_file", pa.string()), ("path", pa.string()), ("type", pa.string()), ("n", pa.int64()), ("whole", pa.int64())])
 
 
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: dict[tuple, int] = {}
+        seen: dict[tuple, list[int]] = {}
         for exporter, entity, dump, text in zip(*(c.to_pylist() for c in batch.columns)):
             ok, record = strict_json(text)
             if ok and isinstance(record, dict):
-                for path, kind, _ in leaves(record):
-                    key = (exporter, entity, dump, path, kind)
-                    seen[key] = seen.get(key, 0) + 1
-        yield _batch([list(c) for c in zip(*(k + (n,) for k, n in seen.items()))] or [[] for _ in _FOOT], _FOOT)
+                for path, kind, v in leaves(record):
+                    n = seen.setdefault((exporter, entity, dump, path, kind), [0, 0])
+                    n[0] += 1
+                    n[1] += kind == "number" and isinstance(v, int) and -(2**63) <= v < 2**63
+        yield _batch([list(c) for c in zip(*((*k, *n) for k, n in seen.items()))] or [[] for _ in _FOOT], _FOOT)
 
 
 _VALUE = pa.schema([("dump_file", pa.string()), ("exporter", pa.string()), ("entity", pa.string()), ("record_id", pa.string()), ("path", pa.string()), ("value", pa.string())])
@@ -94,16 +97,16 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def catalogue(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, lifespans).
 
-    files: exporter, entity, dump_file, at, no; lifespans: exporter, entity, path, type, first_no, last_no, n.
+    files: exporter, entity, dump_file, at, no; lifespans: exporter, entity, path, type, first_no, last_no, n, whole (of n values the whole numbers).
     """
     order = Window.partitionBy(*STREAM).orderBy("at", "dump_file")
     files = lines.groupBy(*STREAM, "dump_file").agg(F.min("exported_at").alias("at")).withColumn("no", F.row_number().over(order))
-    foot = lines.select(*STREAM, "dump_file", "record_json").mapInArrow(_footers, "exporter string, entity string, dump_file string, path string, type string, n long")
-    per_file = foot.groupBy(*STREAM, "dump_file", "path", "type").agg(F.sum("n").alias("n"))
-    seen = cut(per_file.join(files, [*STREAM, "dump_file"]).select(*STREAM, "path", "type", "no", "n"))
+    foot = lines.select(*STREAM, "dump_file", "record_json").mapInArrow(_footers, "exporter string, entity string, dump_file string, path string, type string, n long, whole long")
+    per_file = foot.groupBy(*STREAM, "dump_file", "path", "type").agg(F.sum("n").alias("n"), F.sum("whole").alias("whole"))
+    seen = cut(per_file.join(files, [*STREAM, "dump_file"]).select(*STREAM, "path", "type", "no", "n", "whole"))
     life = Window.partitionBy(*STREAM, "path", "type").orderBy("no")
     islands = seen.withColumn("new", (F.col("no") - F.lag("no", 1, -1).over(life) > 1).cast("int")).withColumn("island", F.sum("new").over(life))
-    return files, islands.groupBy(*STREAM, "path", "type", "island").agg(F.min("no").alias("first_no"), F.max("no").alias("last_no"), F.sum("n").alias("n")).drop("island")
+    return files, islands.groupBy(*STREAM, "path", "type", "island").agg(F.min("no").alias("first_no"), F.max("no").alias("last_no"), F.sum("n").alias("n"), F.sum("whole").alias("whole")).drop("island")
 
 
 def _edges(lifespans: DataFrame, files: DataFrame) -> DataFrame:
@@ -118,7 +121,10 @@ def _edges(lifespans: DataFrame, files: DataFrame) -> DataFrame:
 def changes(lines: DataFrame) -> DataFrame:
     """Every change: exporter, entity, dump_file, no, change, old_path, new_path, old_type, new_type."""
     files, lifespans = catalogue(lines)
-    files, lifespans = cut(files), cut(lifespans)
+    return _changes(lines, cut(files), cut(lifespans))
+
+
+def _changes(lines: DataFrame, files: DataFrame, lifespans: DataFrame) -> DataFrame:
     edges = cut(_edges(lifespans, files))
     # A type that goes while another of the path comes or stays is a retype, as is one that comes beside others.
     at = lambda no: (F.col("s.first_no") <= no) & (no <= F.col("s.last_no"))
@@ -178,43 +184,88 @@ def _renames(lines: DataFrame, files: DataFrame, moved: DataFrame) -> DataFrame:
     return pairs.filter("all_same").select(*STREAM, F.col("later").alias("no"), "old_path", "new_path")
 
 
-_ROW = pa.schema([("exporter", pa.string()), ("entity", pa.string()), ("dump_file", pa.string()), ("record_id", pa.string()), ("path", pa.string()), ("type", pa.string()), ("value", pa.string())])
+def aliases(log: DataFrame, lifespans: DataFrame) -> DataFrame:
+    """Lifespans with field, the last name of their path: renames after the lifespan are followed, one of each chain per round."""
+    names = log.filter("change = 'renamed'").select(*STREAM, "no", F.col("old_path").alias("field"), F.struct(F.col("no"), F.col("new_path").alias("to")).alias("hop"))
+    spans = lifespans.withColumn("field", F.col("path")).withColumn("since", F.col("last_no"))
+    key = [*STREAM, "path", "type", "first_no"]
+    while True:
+        hop = cut(spans.join(names, [*STREAM, "field"]).filter(F.col("no") > F.col("since")).groupBy(*key).agg(F.min("hop").alias("hop")))
+        if hop.isEmpty():
+            return spans.drop("since")
+        spans = cut(spans.join(hop, key, "left").select(*lifespans.columns, F.coalesce("hop.to", "field").alias("field"), F.coalesce("hop.no", "since").alias("since")))
+
+
+def casts(spans: DataFrame) -> DataFrame:
+    """entity, field, cast_to, paths: the narrowest type that holds every value a field ever had; arrays and mixtures are text."""
+    kind = F.when(F.col("type") != "number", F.col("type")).when(F.col("whole") == F.col("n"), F.lit("integer")).otherwise(F.lit("number"))
+    kinds = spans.filter("type <> 'object'").groupBy("entity", "field").agg(F.collect_set(kind).alias("kinds"), F.array_sort(F.collect_set("path")).alias("paths"))
+    only = lambda *names: F.size(F.array_except("kinds", F.array(*[F.lit(n) for n in names]))) == 0
+    to = F.when(only("integer"), "bigint").when(only("integer", "number"), "double").when(only("boolean"), "boolean").otherwise("string")
+    return kinds.select("entity", "field", to.alias("cast_to"), "paths")
+
+
+def _aligned(fields: list[str]):
+    """An Arrow pass from record_json and the renamed paths of its file to the values of fields, as text in their order."""
+    place = {f: i for i, f in enumerate(fields)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep: list[int] = []
+            cells: list[list] = []
+            for row, (text, renamed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                ok, record = strict_json(text)
+                if not ok or not isinstance(record, dict):
+                    continue
+                to = {r["path"]: r["field"] for r in renamed or ()}
+                values: list[str | None] = [None] * len(fields)
+                for path, kind, v in leaves(record):
+                    if kind != "object" and (at := place.get(to.get(path, path))) is not None:
+                        values[at] = v if isinstance(v, str) else json.dumps(v)
+                keep.append(row)
+                cells.append(values)
+            kept = batch.take(pa.array(keep, pa.int64()))
+            try:
+                made = pa.array(cells, pa.list_(pa.string()))
+            except UnicodeEncodeError:  # halves of a surrogate pair
+                made = pa.array([[None if v is None else v.encode("utf-8", "backslashreplace").decode() for v in row] for row in cells], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[2:], made], names=[*kept.schema.names[2:], "cells"])
 
+    return run
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[] for _ in _ROW]
-        for exporter, entity, dump, text in zip(*(c.to_pylist() for c in batch.columns)):
-            ok, record = strict_json(text)
-            if ok and isinstance(record, dict) and record.get("id") is not None:
-                for path, kind, v in leaves(record):
-                    if kind != "object":
-                        for c, x in zip(out, (exporter, entity, dump, str(record["id"]), path, kind, v if isinstance(v, str) else json.dumps(v, sort_keys=True))):
-                            c.append(x)
-        yield _batch(out, _ROW)
+
+#: Bytes up to which the renamed paths of all files are sent to every executor; beyond, they are joined by shuffling.
+BROADCAST_BYTES = 32 << 20
 
 
-def unify(lines: DataFrame) -> DataFrame:
-    """One consistent long table: entity, exporter, record_id, dump_file, field, cast_to, value.
+def unify(lines: DataFrame) -> dict[str, DataFrame]:
+    """One typed table per entity: exporter, dump_file, line_no and every field under its last name, with its cast.
 
-    A field is called by the name it had last (the alias table follows the
-    chain of renames within a producer's stream); cast_to is the narrowest type
-    that holds all types the field had in the entity. Of repeated values of a
-    record in one file the greatest counts.
+    Fields are collected on the driver, as a table's columns must be; they are bounded by the shapes of records, not their number.
+    Lines repeated in a file are one row, that of the least line_no. Names that clash, with the three key columns or but for their case, get a trailing underscore.
     """
-    log = cut(changes(lines))
-    names = log.filter("change = 'renamed'").select(*STREAM, "no", "old_path", "new_path")
-    files = lines.groupBy(*STREAM, "dump_file").agg(F.min("exported_at").alias("at")).withColumn("no", F.row_number().over(Window.partitionBy(*STREAM).orderBy("at", "dump_file")))
-    cells = lines.select(*STREAM, "dump_file", "record_json").mapInArrow(_records, "exporter string, entity string, dump_file string, record_id string, path string, type string, value string")
-    cells = cells.groupBy(*STREAM, "dump_file", "record_id", "path", "type").agg(F.max("value").alias("value")).join(files.select(*STREAM, "dump_file", "no"), [*STREAM, "dump_file"])
-    # Per (stream, path, file number) the last name: follow renames later than the file until none applies.
-    seats = cut(cells.select(*STREAM, "path", "no").distinct().select(*STREAM, "path", "no", F.col("path").alias("field"), F.col("no").alias("since")))
-    while True:
-        step = F.min(F.struct(F.col("r.no").alias("no"), F.col("r.new_path").alias("to")))
-        hop = seats.alias("a").join(names.alias("r"), [F.col(f"a.{k}") == F.col(f"r.{k}") for k in STREAM] + [F.col("a.field") == F.col("r.old_path"), F.col("r.no") > F.col("a.since")]).groupBy(*[F.col(f"a.{k}").alias(k) for k in STREAM], F.col("a.path").alias("path"), F.col("a.no").alias("no")).agg(step.alias("hop"))
-        if hop.isEmpty():
-            break
-        seats = cut(seats.join(hop, [*STREAM, "path", "no"], "left").select(*STREAM, "path", "no", F.coalesce("hop.to", "field").alias("field"), F.coalesce("hop.no", "since").alias("since")))
-    named = cells.join(seats.select(*STREAM, "path", "no", "field"), [*STREAM, "path", "no"])
-    kinds = named.groupBy("entity", "field").agg(F.collect_set("type").alias("kinds")).select("entity", "field", F.when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise(F.lit("string")).alias("cast_to"))
-    return named.join(kinds, ["entity", "field"]).select("entity", "exporter", "record_id", "dump_file", "field", "cast_to", "value")
+    files, lifespans = catalogue(lines)
+    files, lifespans = cut(files), cut(lifespans)
+    spans = cut(aliases(cut(_changes(lines, files, lifespans)), lifespans))
+    renamed = spans.filter("field <> path").join(files, STREAM).filter("no between first_no and last_no").groupBy(*STREAM, "dump_file").agg(F.collect_set(F.struct("path", "field")).alias("renamed"))
+    renamed = cut(renamed)
+    size = renamed.select(F.sum(F.aggregate("renamed", F.lit(0), lambda n, r: n + F.length(r["path"]) + F.length(r["field"]) + 16))).first()[0] or 0
+    once = lines.filter(F.col("record_json").isNotNull()).groupBy(*STREAM, "dump_file", "record_json").agg(F.min("line_no").alias("line_no"))
+    named = once.join(F.broadcast(renamed) if size <= BROADCAST_BYTES else renamed, [*STREAM, "dump_file"], "left")
+    wanted: dict[str, list] = {}
+    for r in casts(spans).orderBy("entity", "field").collect():
+        wanted.setdefault(r["entity"], []).append((r["field"], r["cast_to"]))
+    return {entity: _typed(named.filter(F.col("entity") == entity), columns) for entity, columns in wanted.items()}
+
+
+def _typed(named: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    keys = ["exporter", "dump_file", "line_no"]
+    ddl = f"exporter string, dump_file string, line_no {named.schema['line_no'].dataType.simpleString()}, cells array<string>"
+    cells = named.select("record_json", "renamed", *keys).mapInArrow(_aligned([f for f, _ in columns]), ddl)
+    names: dict[str, str] = {k: k for k in keys}
+    for f, _ in columns:
+        free = f
+        while free.lower() in names:  # also fields that differ in case only
+            free += "_"
+        names[free.lower()] = free
+    return cells.select(*keys, *[F.col("cells")[i].try_cast(to).alias(name) for i, ((_, to), name) in enumerate(zip(columns, list(names.values())[3:]))])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,17 +19,25 @@ def ensure_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-ckpt-"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints, as a URI that all executors can read."""
+    ensure_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and read on from there."""
     ensure_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let go of the files of frames that are no longer held.
-
-    Shuffle files and checkpoints go when the driver collects its garbage; a
-    loop over frames calls this so that they don't pile up on the disks.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame that cut gave and nothing reads any more, as in the rounds of a loop."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRDD" and not plan.getClass().getSimpleName().startswith("LogicalRDD"):
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

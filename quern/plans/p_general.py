@@ -15,8 +15,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.changes(table(spark, d, "dump_record")).select("dump_file", "change", "old_path", "new_path").distinct()
 
 
+def _typed_table(entity: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        lines = table(spark, d, "dump_record")
+        typed = schema_drift.unify(lines)
+        return typed[entity] if entity in typed else lines.select("exporter", "dump_file", "line_no").limit(0)
+
+    return query
+
+
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.unify(table(spark, d, "dump_record"))
+    """All records in the one shape of their entity: the typed row as JSON."""
+    keys = ["exporter", "dump_file", "line_no"]
+    typed = schema_drift.unify(table(spark, d, "dump_record"))
+    one = lambda e, df: df.select(F.lit(e).alias("entity"), *keys, F.to_json(F.struct(*[df["`" + c.replace("`", "``") + "`"] for c in df.columns[len(keys) :]])).alias("record"))
+    return reduce(DataFrame.unionByName, [one(e, df) for e, df in typed.items()])
+
+
+def p1_casts(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the typed tables: entity, field, cast_to and the names it had."""
+    lines = table(spark, d, "dump_record")
+    _, lifespans = schema_drift.catalogue(lines)
+    named = schema_drift.aliases(schema_drift.cut(schema_drift.changes(lines)), schema_drift.cut(lifespans))
+    return schema_drift.casts(named).select("entity", "field", "cast_to", F.array_join("paths", ",").alias("paths"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +118,10 @@ def p6_catalogue(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_unified": p1_unified,
+    "p1_message": _typed_table("message"),
+    "p1_part": _typed_table("part"),
+    "p1_file_semantics": _typed_table("file_semantics"),
+    "p1_casts": p1_casts,
     "p3_found": p3_found,
     "p3_state": p3_state,
     "p3_retained": p3_retained,

@@ -104,11 +104,48 @@ def test_p1_cases(spark):
     )
     got = rows(schema_drift.changes(df).select("dump_file", "change", "old_path", "new_path"))
     assert got == {("a", "renamed", "x", "y"), ("a", "retyped", "o", "o"), ("a", "added", "", "n"), ("c", "removed", "id", ""), ("c", "removed", "y", ""), ("c", "removed", "o", ""), ("c", "removed", "n", "")}
-    table = rows(schema_drift.unify(df).select("record_id", "dump_file", "field", "cast_to", "value"))
-    assert ("2", "b", "y", "number", "6") in table and ("1", "a", "y", "number", "5") in table
+    typed = {r["dump_file"] + str(r["line_no"]): r.asDict() for r in schema_drift.unify(df)["part"].collect()}
+    # A line stored twice is one row, a record without id is a row; x is called y, which is whole; o and n are text.
+    assert {k: v["y"] for k, v in typed.items()} == {"b0": 5, "b1": 6, "a0": 5, "a2": 7}
+    assert typed["b0"]["o.k"] == 1 and typed["a0"]["o"] == "t" and typed["a0"]["n"] == "[{}]" and "x" not in typed["b0"] and typed["a2"]["id"] is None
+    assert schema_drift.unify(df.limit(0)) == {}
     assert rows(schema_drift.changes(df.limit(0))) == set()
 
 
+def test_p1_typed_tables_hold_every_value(spark, data):
+    lines = load(data, "dump_record")
+    order = defaultdict(dict)
+    for r in lines:
+        order[r["exporter"], r["entity"]][r["dump_file"]] = r["exported_at"]
+    no = {f: i for files in order.values() for i, f in enumerate(sorted(files, key=lambda f: (files[f], f)))}
+    stream = {r["dump_file"]: (r["exporter"], r["entity"]) for r in lines}
+    renames = defaultdict(list)
+    for f, change, old, new in brute_p1(lines):
+        if change == "renamed":
+            renames[stream[f], old].append((no[f], new))
+    for entity in ("message", "part", "file_semantics"):
+        got = {(r["dump_file"], r["line_no"]): {k: v for k, v in r.asDict().items() if v is not None} for r in schema_drift.unify(spark.read.parquet(f"{data}/dump_record.parquet"))[entity].collect()}
+        want, seen = {}, set()
+        for r in sorted(lines, key=lambda r: r["line_no"]):
+            rec = parsed(r["record_json"])
+            if r["entity"] != entity or not isinstance(rec, dict) or (r["dump_file"], r["record_json"]) in seen:
+                continue
+            seen.add((r["dump_file"], r["record_json"]))
+            row = {"exporter": r["exporter"], "dump_file": r["dump_file"], "line_no": r["line_no"]}
+            for path, t, v in flat(rec):
+                at = no[r["dump_file"]]
+                while t != "object" and (later := min(((n, new) for n, new in renames[(r["exporter"], entity), path] if n > at), default=None)):
+                    at, path = later
+                if t != "object":
+                    row[path] = v
+            want[r["dump_file"], r["line_no"]] = row
+        assert set(got) == set(want)
+        text = lambda v: v if isinstance(v, str) else json.dumps(v)
+        for k, row in want.items():
+            assert set(got[k]) == set(row)
+            assert all(got[k][c] == v or got[k][c] == text(v) for c, v in row.items())
+
+
 def brute_p3(events):
     by = defaultdict(dict)
     for e in sorted(events, key=lambda e: (e["received_at"], e["id"]), reverse=True):
