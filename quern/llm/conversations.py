@@ -1,10 +1,13 @@
 """Conversations from message rows (problem 4).
 
-Messages and sessions are nodes; a message is linked to its session, and where
-it or the message it replies to lacks one, to that message. A conversation is
-a connected component found by alternating large-star and small-star joins, so
-messages without identifier join the conversation they reply to. Each conversation is then ordered and validated
-with aggregates per key only.
+A message belongs to its session; one without belongs where the message that
+it replies to does, and a reply to one without takes that along. So sessions
+and messages without identifier are the nodes, and replies in which either
+side lacks the identifier the links, of which connected components are found
+by alternating large-star and small-star joins; messages with an identifier
+never enter the loop. The data has no links but sessions and replies (quotes
+have no field). Each conversation is then ordered and validated with
+aggregates per key only.
 
 Defined results: of repeated ids the row with the greatest version counts;
 null ids are dropped; data that is no JSON object makes its conversation
@@ -62,13 +65,13 @@ def conversations(messages: DataFrame, parts: DataFrame) -> tuple[DataFrame, Dat
     base = latest_messages(messages).join(speaking_ids(parts).withColumn("id", F.col("mid")).select("id", F.lit(True).alias("speaks")), "id", "left").withColumn("speaks", F.coalesce("speaks", F.lit(False)))
     base = cut(base)
     # A session's node sorts before its messages', so that it is the centre of their star from the first round on.
-    me = F.concat(F.lit("m"), F.col("id"))
-    known = base.select(F.col("id").alias("parent"), F.col("session_id").alias("p_session"))
-    unknown = F.col("session_id").isNull() | F.col("p_session").isNull()
-    replies = base.filter(F.col("parent").isNotNull()).select("id", "parent", "session_id").join(known, "parent").filter(unknown).select(me.alias("u"), F.concat(F.lit("m"), F.col("parent")).alias("v"))
-    shared = base.select(me.alias("u"), F.coalesce(F.concat(F.lit("a"), F.col("session_id")), me).alias("v"))
-    label = components(shared.unionByName(replies)).filter(F.col("node").startswith("m")).select(F.expr("substr(node, 2)").alias("id"), F.col("component").alias("conversation"))
-    rows = cut(base.join(label, "id"))
+    base = base.withColumn("node", F.coalesce(F.concat(F.lit("a"), F.col("session_id")), F.concat(F.lit("m"), F.col("id"))))
+    lost, parents = F.col("session_id").isNull(), base.select(F.col("id").alias("parent"), F.col("node").alias("v"))
+    replies = base.filter(F.col("parent").isNotNull())
+    up = replies.filter(lost).select("parent", F.col("node").alias("u")).join(parents, "parent")
+    down = replies.filter(~lost).select("parent", F.col("node").alias("u")).join(parents.filter(F.col("v").startswith("m")), "parent")
+    label = cut(components(up.unionByName(down).select("u", "v"))).withColumnRenamed("component", "found")
+    rows = base.join(label, "node", "left").withColumn("conversation", F.coalesce("found", "node")).drop("found", "node")
 
     place = lambda p: F.struct(F.col(f"{p}t"), F.col(f"{p}id"))
     users = rows.filter("role = 'user'").select(F.col("id").alias("parent"), F.col("t").alias("u_t"), F.col("id").alias("u_id"), F.col("conversation").alias("u_conversation"))
