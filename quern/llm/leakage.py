@@ -7,9 +7,13 @@ its first MIN_WORDS words. Suffixes of an item that follow each other at
 following places make up its longest verbatim match. Words that no test item has cannot be in a match, so shards
 keep only runs of MIN_WORDS or more test words; nothing else is left out.
 
-The test set is a stated query set: it goes to all shards in blocks of at most
-BLOCK_WORDS words, so what is sent out has a fixed bound. Corpus texts are not
-shuffled; a document's matches arise within its own shard.
+The test set never meets on the driver: its items are cut into words by the
+executors, items of equal words are put together, and one of each is written
+to the shared folder of the checkpoints, where the workers read it. The corpus
+is read once: each shard's suffix array is built once and searched for the
+items in blocks of at most BLOCK_WORDS words. A worker holds the test set's
+distinct words, one shard and one block (all blocks up to KEPT_WORDS). Corpus
+texts are not shuffled; a document's matches arise within its own shard.
 
 Defined results: null and empty texts hold nothing; items of fewer than
 MIN_WORDS words can't leak; items of equal text each get their row; a document
@@ -20,20 +24,26 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset  # noqa: F401
+import pyarrow.fs  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.checkpoints import cut, shared_dir
 from quern.plans.partitioning import spread
 
 MIN_WORDS = 12
 #: Words of test items in one block.
 BLOCK_WORDS = 200_000
+#: Words of test items up to which a worker keeps the blocks between shards.
+KEPT_WORDS = 2_000_000
 #: Words of one shard; a document is never divided.
 SHARD_WORDS = 1_000_000
 
@@ -101,76 +111,116 @@ def bounds(text: np.ndarray, order: np.ndarray, probes: np.ndarray) -> tuple[np.
 
 
 class Probes:
-    """The test suffixes of one block: items' words as codes, with the vocabulary."""
+    """The test suffixes of one block: items' words as codes."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], width: int):
+    def __init__(self, items: list[tuple[int, list[str]]], width: int, vocabulary: dict[str, int]):
         self.width = width
-        self.vocabulary: dict[str, int] = {}
-        rows, which, places = [], [], []
-        for n, (_, said) in enumerate(items):
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in said]
-            for k in range(len(codes) - width + 1):
-                rows.append(codes[k : k + width])
-                which.append(n)
-                places.append(k)
+        codes = [np.array([vocabulary[w] for w in said], dtype=np.int64) for _, said in items]
+        many = [max(len(c) - width + 1, 0) for c in codes]
         self.items = [item for item, _ in items]
-        self.rows = np.array(rows, dtype=np.int64).reshape(-1, width)
-        self.which = np.array(which, dtype=np.int64)
-        self.places = np.array(places, dtype=np.int64)
-
-
-def _shard_matches(docs: list[tuple[int, list[int]]], probes: Probes) -> dict[tuple[int, int], int]:
-    """(document, item): words of the longest verbatim match, for the documents' codes (-1: not a test word)."""
-    text: list[int] = []
-    owner: list[int] = []
-    for doc, codes in docs:
-        start = 0
-        for stop in [*(i for i, c in enumerate(codes) if c < 0), len(codes)]:
-            if stop - start >= probes.width:
-                text += codes[start:stop]
-                text.append(-1)
-                owner += [doc] * (stop - start + 1)
-            start = stop + 1
-    if not text or not len(probes.rows):
-        return {}
-    codes, owners = np.array(text, dtype=np.int64), np.array(owner, dtype=np.int64)
-    order = suffix_array(codes, probes.width)
-    lo, hi = bounds(codes, order, probes.rows)
-    hit = np.flatnonzero(hi > lo)
-    # Every place of every test suffix; a shard's words bound their number.
-    many = hi[hit] - lo[hit]
-    row = np.repeat(hit, many)
-    at = order[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + lo[row]]
-    which, shift = probes.which[row], at - probes.places[row]
-    # Suffixes of an item that follow each other at following places are one verbatim match.
-    by = np.lexsort((at, shift, which))
-    at, which, shift = at[by], which[by], shift[by]
-    fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = (which[1:] != which[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
-    begin = np.flatnonzero(fresh)
-    length = np.diff(np.append(begin, len(at))) + probes.width - 1
-    found: dict[tuple[int, int], int] = {}
-    for doc, n, words_ in zip(owners[at[begin]].tolist(), which[begin].tolist(), length.tolist()):
-        key = (doc, probes.items[n])
-        if words_ > found.get(key, 0):
-            found[key] = words_
-    return found
+        self.rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, width) for c, n in zip(codes, many) if n] or [np.empty((0, width), dtype=np.int64)])
+        self.which = np.repeat(np.arange(len(items), dtype=np.int64), many)
+        self.places = np.concatenate([np.arange(n, dtype=np.int64) for n in many] or [np.empty(0, dtype=np.int64)])
+
+
+class Items:
+    """The written test items as a worker reads them: their distinct words, and their suffixes block by block."""
+
+    def __init__(self, folder: str, width: int, block_words: int):
+        self.folder, self.width, self.block_words = folder, width, block_words
+        self.vocabulary: dict[str, int] = {}
+        total = 0
+        for _, said in self._rows():
+            total += len(said)
+            for w in said:
+                self.vocabulary.setdefault(w, len(self.vocabulary))
+        self.kept = list(self._blocks()) if total <= KEPT_WORDS else None
+
+    def _rows(self) -> Iterator[tuple[int, list[str]]]:
+        system, path = pa.fs.FileSystem.from_uri(self.folder)
+        for batch in pa.dataset.dataset(path, filesystem=system, format="parquet", schema=_ITEM).to_batches(batch_size=1024):
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+    def _blocks(self) -> Iterator[Probes]:
+        block: list[tuple[int, list[str]]] = []
+        size = 0
+        for item, said in self._rows():
+            if block and size + len(said) > self.block_words:
+                yield Probes(block, self.width, self.vocabulary)
+                block, size = [], 0
+            block.append((item, said))
+            size += len(said)
+        if block:
+            yield Probes(block, self.width, self.vocabulary)
+
+    def blocks(self) -> Iterator[Probes]:
+        return iter(self.kept) if self.kept is not None else self._blocks()
+
+
+@lru_cache(maxsize=1)
+def read_items(folder: str, width: int, block_words: int) -> Items:
+    return Items(folder, width, block_words)
+
+
+class Shard:
+    """The suffix array over some documents' words (codes; -1: not a test word)."""
+
+    def __init__(self, docs: list[list[int]], width: int):
+        text: list[int] = []
+        owner: list[int] = []
+        for doc, codes in enumerate(docs):
+            start = 0
+            for stop in [*(i for i, c in enumerate(codes) if c < 0), len(codes)]:
+                if stop - start >= width:
+                    text += codes[start:stop]
+                    text.append(-1)
+                    owner += [doc] * (stop - start + 1)
+                start = stop + 1
+        self.codes, self.owners = np.array(text, dtype=np.int64), np.array(owner, dtype=np.int64)
+        self.order = suffix_array(self.codes, width) if text else self.codes
+
+    def matches(self, probes: Probes) -> dict[tuple[int, int], int]:
+        """(document's number, item): words of the longest verbatim match."""
+        if not len(self.codes) or not len(probes.rows):
+            return {}
+        lo, hi = bounds(self.codes, self.order, probes.rows)
+        hit = np.flatnonzero(hi > lo)
+        # Every place of every test suffix.
+        many = hi[hit] - lo[hit]
+        row = np.repeat(hit, many)
+        at = self.order[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + lo[row]]
+        which, shift = probes.which[row], at - probes.places[row]
+        # Suffixes of an item that follow each other at following places are one verbatim match.
+        by = np.lexsort((at, shift, which))
+        at, which, shift = at[by], which[by], shift[by]
+        fresh = np.ones(len(at), dtype=bool)
+        fresh[1:] = (which[1:] != which[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
+        begin = np.flatnonzero(fresh)
+        length = np.diff(np.append(begin, len(at))) + probes.width - 1
+        found: dict[tuple[int, int], int] = {}
+        for doc, n, said in zip(self.owners[at[begin]].tolist(), which[begin].tolist(), length.tolist()):
+            key = (doc, probes.items[n])
+            if said > found.get(key, 0):
+                found[key] = said
+        return found
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("match_words", pa.int32())])
+_ITEM = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.string()))])
 
 
-def _searcher(items: list[tuple[int, list[str]]], width: int, shard_words: int):
-    def flush(docs: list, probes: Probes) -> pa.RecordBatch:
-        found = _shard_matches([(i, c) for i, (_, c) in enumerate(docs)], probes)
-        keys = list(found)
-        columns = [docs[k[0]][0] for k in keys], [k[1] for k in keys], [found[k] for k in keys]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
+def _searcher(folder: str, width: int, block_words: int, shard_words: int):
+    def flush(docs: list[tuple[int, list[int]]], items: Items) -> Iterator[pa.RecordBatch]:
+        shard = Shard([codes for _, codes in docs], width)
+        for probes in items.blocks():
+            found = shard.matches(probes)
+            columns = [docs[k[0]][0] for k in found], [k[1] for k in found], list(found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes = Probes(items, width)
-        code = probes.vocabulary.get
-        docs: list = []
+        items = read_items(folder, width, block_words)
+        code = items.vocabulary.get
+        docs: list[tuple[int, list[int]]] = []
         size = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -178,39 +228,39 @@ def _searcher(items: list[tuple[int, list[str]]], width: int, shard_words: int):
                 docs.append((doc, codes))
                 size += len(codes)
                 if size >= shard_words:
-                    yield flush(docs, probes)
+                    yield from flush(docs, items)
                     docs, size = [], 0
-        yield flush(docs, probes)
+        yield from flush(docs, items)
+
+    return go
+
+
+def _said(width: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, ws) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(ws := words(t)) >= width]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], schema=_ITEM)
 
     return go
 
 
-def item_blocks(items: DataFrame, width: int, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """The test items as words, in blocks of bounded size; rows stream to the driver one partition at a time."""
-    block: list[tuple[int, list[str]]] = []
-    size = 0
-    for row in items.filter(F.col("item_text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "item_text").distinct().toLocalIterator():
-        said = words(row[1])
-        if len(said) < width:
-            continue
-        if block and size + len(said) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row[0], said))
-        size += len(said)
-    if block:
-        yield block
+def write_items(items: DataFrame, width: int) -> tuple[str, DataFrame]:
+    """(folder, members): one item of each class of equal words is written; members(item_id, class) tells whose."""
+    rows = items.filter(F.col("item_text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "item_text").distinct()
+    said = rows.mapInArrow(_said(width), "item_id long, words array<string>").withColumn("key", F.sha2(F.array_join("words", " "), 256))
+    said = cut(said)
+    first = said.groupBy("key").agg(F.min(F.struct("item_id", "words")).alias("one")).select("key", F.col("one.item_id").alias("class"), "one.words")
+    folder = f"{shared_dir(items.sparkSession)}/test-items-{uuid.uuid4().hex}"
+    first.select(F.col("class").alias("item_id"), "words").write.parquet(folder)
+    return folder, said.select("item_id", "key").join(first.select("key", "class"), "key").drop("key")
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = MIN_WORDS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, item_id, match_words) of each document and item that share width or more consecutive words."""
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    texts = spread(texts)
-    found = [texts.mapInArrow(_searcher(block, width, shard_words), "doc_id long, item_id long, match_words int") for block in item_blocks(items, width, block_words)]
-    if not found:
-        return texts.limit(0).selectExpr("doc_id", "cast(null as long) item_id", "cast(null as int) match_words")
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("doc_id", "item_id").agg(F.max("match_words").alias("match_words"))
+    folder, members = write_items(items, width)
+    texts = spread(docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()))
+    found = texts.mapInArrow(_searcher(folder, width, block_words, shard_words), "doc_id long, class long, match_words int")
+    return found.groupBy("doc_id", "class").agg(F.max("match_words").alias("match_words")).join(members, "class").select("doc_id", "item_id", "match_words")
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
