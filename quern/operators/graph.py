@@ -8,6 +8,9 @@ on the order of visits (depth-first variants give the same sets).
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,23 +32,41 @@ def adjacency(edges: DataFrame, direction: str, kinds: list[str] | None = None)
     return out if direction == "out" else back if direction == "in" else out.unionByName(back)
 
 
-def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", kinds: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """id, depth, parent, kind of the nodes within depth of starts(id); the tree edge is that of the first kind, then the least parent."""
+class Levels:
+    """The levels of a traversal as separate frames, so that a level costs its own rows; every COMPACT of them become one."""
+
+    COMPACT = 12
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, level: DataFrame) -> None:
+        self.parts.append(level)
+        if len(self.parts) > self.COMPACT:
+            self.parts = [cut(self.union())]
+
+    def union(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
+def bfs(edges: DataFrame, starts: DataFrame, depth: int | None = None, direction: str = "out", kinds: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """id, depth, parent, kind of the nodes within depth (else at any) of starts(id); the tree edge is that of the first kind, then the least parent."""
     links = adjacency(edges, direction, kinds)
     if allowed is not None:
         links = links.join(allowed.select(F.col("id").alias("dst")), "dst", "left_semi")
-    if depth > 1:  # the links are read once per level
+    if depth is None or depth > 1:  # the links are read once per level
         links = cut(links)
     none = F.lit(None).cast("string")
-    seen = cut(starts.select("id").distinct().select("id", F.lit(0).alias("depth"), none.alias("parent"), none.alias("kind")))
-    frontier = seen
-    for level in range(1, depth + 1):
+    frontier = cut(starts.select("id").distinct().select("id", F.lit(0).alias("depth"), none.alias("parent"), none.alias("kind")))
+    levels = Levels(frontier)
+    for level in count(1) if depth is None else range(1, depth + 1):
+        seen = levels.union()
         step = frontier.select(F.col("id").alias("src")).join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(priority(F.col("kind")).alias("p"), "src", "kind")).alias("e"))
         frontier = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth"), F.col("e.src").alias("parent"), F.col("e.kind").alias("kind")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        levels.add(frontier)
+    return levels.union()
 
 
 def callers(edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
@@ -79,14 +100,16 @@ def impact_radius(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth:
             whole = cut(whole.unionByName(fresh))
 
     first = cut(starts.select("id", F.lit(0).alias("depth")))
-    seen = frontier = closed(first, first.limit(0), 0)
+    frontier = closed(first, first.limit(0), 0)
+    levels = Levels(frontier)
     for level in range(1, depth + 1):
+        seen = levels.union()
         step = frontier.select(F.col("id").alias("src")).join(back.select("src", "dst"), "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth"))
         frontier = closed(cut(step), seen, level)
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        levels.add(frontier)
+    return levels.union()
 
 
 def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -104,32 +127,34 @@ def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return out if out is not None else starts.limit(0).select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, limit: int = 16, kinds: list[str] | None = None) -> DataFrame:
-    """step, id of a shortest directed path, empty if there is none within limit; of equal ones that of the least parents."""
+def shortest_path(edges: DataFrame, start: str, goal: str, limit: int | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """step, id of a shortest directed path, empty if there is none (within limit, if given); of equal ones that of the least parents."""
     spark = edges.sparkSession
     links = cut(adjacency(edges, "out", kinds))
-    seen = cut(spark.createDataFrame([(start, 0, None)], "id string, depth int, parent string"))
-    frontier, level, found = seen, 0, start == goal
-    while not found and level < limit:
+    frontier = cut(spark.createDataFrame([(start, 0, None)], "id string, depth int, parent string"))
+    levels, level, found = Levels(frontier), 0, start == goal
+    while not found and (limit is None or level < limit):
         level += 1
+        seen = levels.union()
         step = frontier.select(F.col("id").alias("src")).join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth"), "parent"))
         if frontier.isEmpty():
             break
         found = not frontier.filter(F.col("id") == goal).isEmpty()
-        seen = cut(seen.unionByName(frontier))
+        levels.add(frontier)
+    seen = levels.union()
     if not found:
         return seen.limit(0).select(F.lit(0).alias("step"), "id")
-    walk = cut(seen.filter(F.col("id") == goal))
-    path = walk
-    for _ in range(level):  # one row per round, back from the goal
-        walk = cut(seen.join(walk.select(F.col("parent").alias("id")), "id", "left_semi"))
-        path = path.unionByName(walk)
-    return path.select(F.col("depth").alias("step"), "id")
+    # Back from the goal, one row per step.
+    path, at = [(level, goal)], goal
+    for depth in range(level, 0, -1):
+        at = seen.filter((F.col("depth") == depth) & (F.col("id") == at)).first()["parent"]
+        path.append((depth - 1, at))
+    return spark.createDataFrame(path, "step int, id string")
 
 
-def type_hierarchy(edges: DataFrame, starts: DataFrame, kinds: list[str], limit: int = 32) -> DataFrame:
-    """id, side of the types above and below the starts."""
+def type_hierarchy(edges: DataFrame, starts: DataFrame, kinds: list[str], limit: int | None = None) -> DataFrame:
+    """id, side of the types above and below the starts, at any distance unless limited."""
     up = bfs(edges, starts, limit, "out", kinds).filter("depth > 0").select("id", F.lit("above").alias("side"))
     down = bfs(edges, starts, limit, "in", kinds).filter("depth > 0").select("id", F.lit("below").alias("side"))
     return up.unionByName(down)
@@ -143,13 +168,13 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(at.select(F.col("id").alias("target"), F.col("file_path").alias("to_file")), "target").filter("from_file <> to_file").select("from_file", "to_file").distinct()
 
 
-def simple_cycles(links: DataFrame, longest: int) -> DataFrame:
-    """cycle: the nodes of each directed cycle of links(src, dst) up to that length, from its least node on."""
+def simple_cycles(links: DataFrame, longest: int | None = None) -> DataFrame:
+    """cycle: the nodes of each directed cycle of links(src, dst), from its least node on; longest bounds their length where it is given."""
     links = cut(links.select("src", "dst").distinct())
     # A path starts at its least node, so that each cycle is found once.
     paths = cut(links.filter("src < dst").select(F.array("src", "dst").alias("path")))
     out = links.filter("src = dst").select(F.array("src").alias("cycle"))
-    for _ in range(longest - 1):
+    for _ in count() if longest is None else range(longest - 1):
         ends = paths.withColumn("src", F.element_at("path", -1)).join(links, "src")
         out = out.unionByName(cut(ends.filter(F.col("dst") == F.col("path")[0]).select(F.col("path").alias("cycle"))))
         paths = cut(ends.filter((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))

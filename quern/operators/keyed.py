@@ -60,3 +60,9 @@ def field_diff(before: DataFrame, after: DataFrame, key: list[str], fields: list
         .when(has("file_path"), "move").when(has("name", "qualified_name"), "rename").otherwise("modify")
     )
     return both.select(*key, kind.alias("change"), F.array_join("changed", ",").alias("changed_fields"))
+
+
+def claim(base: DataFrame, claims: DataFrame, key: list[str], owner: str) -> DataFrame:
+    """base with the owner that claims(key, owner) name; claims of unknown keys change nothing, of several on a key the greatest owner counts."""
+    one = claims.groupBy(*key).agg(F.max(owner).alias("_owner"))
+    return base.join(one, key, "left").withColumn(owner, F.coalesce("_owner", owner)).select(*base.columns)

@@ -202,3 +202,30 @@ def containing_sets(stubs: DataFrame, candidates: DataFrame, shortest: int = 1)
     pairs = rarest.join(c, "method").select("first", "impl")
     met = pairs.join(s, "first").join(c, ["impl", "method"]).groupBy("first", "impl").agg(F.count(F.lit(1)).alias("met"))
     return met.join(of, "first").filter("met = need AND stub <> impl").select("stub", "impl")
+
+
+# What is tried after the path that an import names.
+MODULE_ENDINGS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", ".py", "/__init__.py")
+
+
+def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """project_id, path, name, target of imports(project_id, path, language, name) whose file is in the project files(project_id, path).
+
+    Relative names (./, ../, Python's leading dots, C's quoted includes) are taken from the importing file's folder, the
+    rest from the project's root; of several endings that exist the first counts. Each import is a few candidate paths
+    and one equi-join, whose other side is the file list.
+    """
+    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
+    dots = F.length(F.regexp_extract("name", r"^\.*", 0))
+    dotted = F.replace(F.regexp_replace("name", r"^\.+", ""), F.lit("."), F.lit("/"))
+    # Python's first dot is the folder itself, each further one a step up.
+    python = F.when(dots == 0, dotted).otherwise(F.concat_ws("/", folder, F.expr("repeat('../', length(regexp_extract(name, '^[.]*', 0)) - 1)"), dotted))
+    here = F.concat_ws("/", folder, "name")
+    raw = F.when(F.col("language") == "python", python).when(F.col("language") == "java", dotted).when(F.col("name").startswith(".") | (F.col("language") == "c"), here).otherwise(F.col("name"))
+    step = lambda done, part: F.when(part.isin("", "."), done).when((part == "..") & (F.size(done) > 0), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+    plain = F.array_join(F.aggregate(F.split(raw, "/"), F.array().cast("array<string>"), step), "/")
+    endings = F.array(*[F.lit(e) for e in (*MODULE_ENDINGS, ".java", ".go", ".rs", ".h")])
+    tried = imports.select("project_id", "path", "name", plain.alias("at")).distinct().select("*", F.posexplode(endings).alias("n", "ending")).withColumn("target", F.concat("at", "ending"))
+    known = files.select("project_id", F.col("path").alias("target")).distinct()
+    met = tried.filter("target <> path").join(known, ["project_id", "target"])
+    return met.groupBy("project_id", "path", "name").agg(F.min(F.struct("n", "target")).alias("one")).select("project_id", "path", "name", "one.target")

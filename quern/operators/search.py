@@ -1,14 +1,15 @@
 """Ranked search over symbols: field-qualified queries, weighted BM25 over prefixes, substring and edit-distance fallbacks.
 
-The index is a postings table (term, id, tf per column) built in one pass; a
-query reads the terms that begin with its words. Scores are sums per id, so a
-query is one filter and one aggregation whatever the corpus.
+A query's few words are matched within each row, so nothing of the corpus is
+shuffled: one pass counts the rows per word and the mean length (one row of
+totals), a second scores the rows and keeps the best.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.plans.checkpoints import cut
 
-#: Weight of a term's occurrences by column.
-WEIGHTS = {"name": 20.0, "qualified_name": 5.0, "search_text": 3.0}
+# Weight of a term's occurrences by column; a table may lack some of the columns.
+WEIGHTS = {"name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0, "search_text": 3.0}
 K1, B = 1.2, 0.75
 OPERATORS = frozenset("and or not near".split())
 
@@ -57,21 +58,6 @@ def terms(column: Column) -> Column:
     return F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """term, id, f (weighted occurrences of the term in the row's columns)."""
-    def weighed(column: str, weight: float) -> Column:
-        return F.transform(F.coalesce(terms(F.col(column)), F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
-
-    tagged = F.flatten(F.array(*[weighed(c, w) for c, w in WEIGHTS.items()]))
-    return nodes.select("id", F.explode(tagged).alias("t")).groupBy(F.col("t.term").alias("term"), "id").agg(F.sum("t.w").alias("f"))
-
-
-def lengths(nodes: DataFrame) -> DataFrame:
-    """id, len: words of a row over all columns."""
-    size = lambda c: F.coalesce(F.size(terms(F.col(c))), F.lit(0))
-    return nodes.select("id", sum((size(c) for c in WEIGHTS), F.lit(0)).alias("len"))
-
-
 def query_phrases(text: str) -> list[list[list[str]]]:
     """Per word of the query its alternatives: the word as a prefix, or all of its parts as prefixes."""
     out = []
@@ -95,21 +81,19 @@ def bm25(nodes: DataFrame, text: str, limit: int) -> DataFrame:
     prefixes = sorted({p for alternatives in phrases for group in alternatives for p in group})
     if not prefixes:
         return nodes.limit(0).select("id", F.lit(0.0).alias("score"))
-    starts = F.array_compact(F.array(*[F.when(F.startswith("term", F.lit(p)), F.lit(p)) for p in prefixes]))
-    hits = postings(nodes).withColumn("prefix", F.explode(starts)).groupBy("prefix", "id").agg(F.sum("f").alias("f"))
-    sizes = lengths(nodes)
-    # One row with the corpus' totals, one per prefix with its rows.
-    totals = sizes.agg(F.count(F.lit(1)).alias("every"), F.avg("len").alias("avg"))
-    counts = hits.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    scored = hits.join(F.broadcast(counts), "prefix").join(sizes, "id").join(F.broadcast(totals))
-    idf = F.greatest(F.log((F.col("every") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    one = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    per = scored.groupBy("id").agg(F.sum(one).alias("score"), F.collect_set("prefix").alias("met"))
-    matched = F.lit(False)
-    for alternatives in phrases:
-        for group in alternatives:
-            matched = matched | (F.size(F.array_except(F.array(*map(F.lit, group)), F.col("met"))) == 0)
-    return per.filter(matched).orderBy(F.desc("score"), "id").limit(max(5 * limit, 100)).select("id", "score")
+    have = {c: F.coalesce(terms(F.col(c)), F.array().cast("array<string>")) for c in WEIGHTS if c in nodes.columns}
+    hits = lambda c, p: F.size(F.filter(have[c], lambda t: F.startswith(t, F.lit(p)))) * WEIGHTS[c]
+    rows = nodes.select("id", sum((F.size(c) for c in have.values()), F.lit(0)).alias("len"), *[sum((hits(c, p) for c in have), F.lit(0.0)).alias(f"f{i}") for i, p in enumerate(prefixes)])
+    f = [F.col(f"f{i}") for i in range(len(prefixes))]
+    totals = rows.agg(F.count(F.lit(1)).alias("every"), F.avg("len").alias("avg"), *[F.count(F.when(x > 0, 1)).alias(f"n{i}") for i, x in enumerate(f)])
+    score = F.lit(0.0)
+    for i, x in enumerate(f):
+        n = F.col(f"n{i}")
+        idf = F.greatest(F.log((F.col("every") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+        score = score + F.when(x > 0, idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("len") / F.col("avg")))).otherwise(0.0)
+    every = lambda group: reduce(lambda a, b: a & b, [f[prefixes.index(p)] > 0 for p in group])
+    matched = reduce(lambda a, b: a | b, [every(group) for alternatives in phrases for group in alternatives if group])
+    return rows.filter(matched).join(F.broadcast(totals)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(max(5 * limit, 100))
 
 
 def like(nodes: DataFrame, text: str, limit: int) -> DataFrame:
@@ -247,3 +231,31 @@ def find_sequence(lines: DataFrame, pattern: list[str]) -> DataFrame:
         tests.append(F.when(hit, k))
     out = out.withColumn("pass", F.coalesce(*tests)).filter(F.col("pass").isNotNull())
     return out.groupBy("doc").agg(F.min(F.struct("pass", "no")).alias("m")).select("doc", F.col("m.no").alias("at"), F.col("m.pass").alias("pass"))
+
+
+def merged_filter(asked: list[str], given: list[str] | None) -> list[str] | None:
+    """Values of a filter written in the query beside those given as options, each once; options alone where the query has none."""
+    return list(dict.fromkeys([*(given or []), *asked])) if asked else given
+
+
+def term_groups(terms: Column) -> Column:
+    """array<array<string>>: terms by mutual substring, longest first; a term joins the first group whose first term holds it or lies in it."""
+    by_length = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+
+    def place(groups: Column, term: Column) -> Column:
+        at = F.array_position(F.transform(groups, lambda g: F.contains(g[0], term) | F.contains(term, g[0])), F.lit(True))
+        joined = F.transform(groups, lambda g, i: F.when(i + 1 == at, F.concat(g, F.array(term))).otherwise(g))
+        return F.when(at > 0, joined).otherwise(F.concat(groups, F.array(F.array(term))))
+
+    return F.aggregate(F.array_sort(F.array_distinct(terms), by_length), F.array().cast("array<array<string>>"), place)
+
+
+# The lines by which a patch is seen to touch imports or exports.
+IMPORT_LINE = r"""\s*(?:import(?:\s|["'{*])|from\s+.+\s+import\s)"""
+EXPORT_LINE = r"""\s*export(?:\s|\{|\*)"""
+
+
+def patch_signals(patch: Column) -> Column:
+    """array<struct<kind, change>> of the imports and exports that the added and removed lines of a patch name."""
+    signal = lambda kind, change, mark, line: F.when(patch.rlike(f"(?m)^{mark}{line}"), F.struct(F.lit(kind).alias("kind"), F.lit(change).alias("change")))
+    return F.array_compact(F.array(*[signal(kind, change, mark, line) for kind, line in (("import_statement", IMPORT_LINE), ("export_boundary", EXPORT_LINE.removeprefix(r"\s*"))) for change, mark in (("added", r"\+"), ("removed", "-"))]))

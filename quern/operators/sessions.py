@@ -83,9 +83,8 @@ def since_last(df: DataFrame, group: str, order: list[str], boundary: Column) ->
 
 
 def sequence_gaps(df: DataFrame, group: str, seq: str) -> DataFrame:
-    """group, whole: whether the group's numbers are consecutive, each once."""
-    span = df.groupBy(group).agg(F.min(seq).alias("a"), F.max(seq).alias("b"), F.count(seq).alias("n"), F.sum(seq).alias("s"), F.sum(F.col(seq) * F.col(seq)).alias("q"))
-    n, a = F.col("n"), F.col("a")
-    # n numbers between a and b = a + n - 1 are all of them exactly if sum and sum of squares are those of the run.
-    run = (F.col("b") - a + 1 == n) & (F.col("s") == n * a + (n * (n - 1) / 2).cast("long")) & (F.col("q") == n * a * a + a * n * (n - 1) + ((n - 1) * n * (2 * n - 1) / 6).cast("long"))
-    return span.select(group, run.alias("whole"))
+    """group, whole: whether the group's numbers are consecutive, each once; null numbers make it broken."""
+    # Repeated numbers are counted per number first, so a group of any size combines before and after the shuffle.
+    each = df.groupBy(group, seq).agg(F.count(F.lit(1)).alias("_times"))
+    run = (F.max("_times") == 1) & (F.count(seq) == F.count(F.lit(1))) & (F.max(seq) - F.min(seq) + 1 == F.count(seq))
+    return each.groupBy(group).agg(F.coalesce(run, F.lit(False)).alias("whole"))

@@ -48,8 +48,12 @@ def anchored_fold(df: DataFrame, key: str, ts: str, amount: str, window_seconds:
     """
     micros = F.unix_micros(ts)
     rows = cut(df.groupBy(key, micros.alias("at")).agg(F.sum(amount).alias("amount")))
-    beyond = Window.partitionBy(key).orderBy("at").rangeBetween(window_seconds * 1_000_000, Window.unboundedFollowing)
-    hops = cut(rows.select(key, "at", F.min("at").over(beyond).alias("next")).filter(F.col("next").isNotNull()))
+    # Rows and the ends of their windows in one falling order: the row last seen is the first one beyond an end. One step per row.
+    ends = rows.select(key, "at", (F.col("at") + window_seconds * 1_000_000).alias("place"), F.lit(0).alias("is_row"))
+    line = ends.unionByName(rows.select(key, "at", F.col("at").alias("place"), F.lit(1).alias("is_row")))
+    falling = Window.partitionBy(key).orderBy(F.desc("place"), F.desc("is_row")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("is_row") == 1, F.col("at")), ignorenulls=True).over(falling)
+    hops = cut(line.select(key, "at", "is_row", seen.alias("next")).filter("is_row = 0 and next is not null").drop("is_row"))
     reached = cut(rows.groupBy(key).agg(F.min("at").alias("at")))
     n = reached.count()
     while True:

@@ -105,12 +105,12 @@ def g13(spark, d):
 _TRANS = "tr AS (SELECT DISTINCT event_type AS src, nxt AS dst FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL AND nxt <> event_type)"
 
 
-@query("graph_g14_cycles", f"""WITH RECURSIVE {_TRANS}, p AS (SELECT [src, dst] AS path FROM tr WHERE src < dst UNION ALL SELECT list_append(path, dst) FROM p JOIN tr ON src = path[-1] WHERE dst > path[1] AND NOT list_contains(path, dst) AND len(path) < 5)
+@query("graph_g14_cycles", f"""WITH RECURSIVE {_TRANS}, p AS (SELECT [src, dst] AS path FROM tr WHERE src < dst UNION ALL SELECT list_append(path, dst) FROM p JOIN tr ON src = path[-1] WHERE dst > path[1] AND NOT list_contains(path, dst))
 SELECT array_to_string(path, '>') AS cycle FROM p JOIN tr ON src = path[-1] AND dst = path[1]""")
 def g14(spark, d):
     nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     moves = events(spark, d).select(F.col("event_type").alias("src"), nxt.alias("dst")).filter("dst IS NOT NULL AND dst <> src").distinct()
-    return graph.simple_cycles(moves, 5).select(F.array_join("cycle", ">").alias("cycle"))
+    return graph.simple_cycles(moves).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 @query("graph_g15_dead_code", f"WITH {NODES_SQL} used AS (SELECT DISTINCT 'part:' || l_partkey AS id FROM lineitem WHERE l_quantity >= 49) SELECT id FROM nodes WHERE kind = 'field' AND k % 2 = 1 AND id NOT IN (SELECT id FROM used)")
@@ -283,24 +283,27 @@ def j14(spark, d):
     return keyed.relation_delta(li.filter("y < 1998"), li.filter("y >= 1998"), ["l_partkey", "l_suppkey"])
 
 
-@query("graph_j16_registrar_dispatcher", "WITH r AS (SELECT s_suppkey, s_nationkey FROM supplier), c AS (SELECT c_custkey, c_nationkey FROM customer), p AS (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, c_custkey) AS n FROM r JOIN c ON s_nationkey = c_nationkey WHERE s_suppkey <> c_custkey) SELECT s_suppkey, c_custkey FROM p WHERE n <= 10")
+#: Fixed value: callbacks that are taken of one channel, at most.
+CHANNEL_CAP = 40
+
+
+@query("graph_j16_registrar_dispatcher", f"WITH p AS (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, c_custkey) AS n FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey <> c_custkey) SELECT s_suppkey, c_custkey FROM p WHERE n <= {CHANNEL_CAP}")
 def j16(spark, d):
-    # Of the pairs in order the first ten lie within the first eleven rows of either side, so no group's pairs are all built.
-    first = lambda df, group, key: df.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(key))).filter("n <= 11").select(group, key)
+    # Of the pairs in order the first ones lie within as many rows, and one for the excluded pair, of either side, so no group's pairs are all built.
+    first = lambda df, group, key: df.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(key))).filter(F.col("n") <= CHANNEL_CAP + 1).select(group, key)
     pairs = first(table(spark, d, "supplier"), "s_nationkey", "s_suppkey").join(first(table(spark, d, "customer"), "c_nationkey", "c_custkey"), F.col("s_nationkey") == F.col("c_nationkey")).filter("s_suppkey <> c_custkey")
     place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey", "c_custkey"))
-    return pairs.withColumn("n", place).filter("n <= 10").select("s_suppkey", "c_custkey")
+    return pairs.withColumn("n", place).filter(F.col("n") <= CHANNEL_CAP).select("s_suppkey", "c_custkey")
 
 
-@query("graph_j17_override_join", """WITH m AS (SELECT p_partkey, p_name, CAST(replace(p_brand, 'Brand#', '') AS INTEGER) AS c FROM part), x AS (SELECT DISTINCT c AS sub, c + 1 AS base FROM m),
-r AS (SELECT s.p_partkey AS sub, b.p_partkey AS base, row_number() OVER (PARTITION BY x.sub, s.p_name ORDER BY s.p_partkey, b.p_partkey) AS n FROM x JOIN m s ON s.c = x.sub JOIN m b ON b.c = x.base AND b.p_name = s.p_name) SELECT sub, base FROM r WHERE n <= 3""")
+@query("graph_j17_override_join", f"""WITH m AS (SELECT p_partkey, p_name, CAST(replace(p_brand, 'Brand#', '') AS INTEGER) AS c FROM part), b AS (SELECT c, p_name, max(p_partkey) AS base FROM m GROUP BY ALL),
+r AS (SELECT s.p_partkey AS sub, base, row_number() OVER (PARTITION BY s.c ORDER BY s.p_partkey) AS n FROM m s JOIN b ON b.c = s.c + 1 AND b.p_name = s.p_name) SELECT sub, base FROM r WHERE n <= {CHANNEL_CAP}""")
 def j17(spark, d):
-    """Methods (parts) that override one of the same name in the base class (the next brand), at most three per name."""
+    """Methods (parts) that override one of the same name in the base class (the next brand); of equal names in a class the last counts."""
     m = table(spark, d, "part").select("p_partkey", "p_name", F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("c"))
-    extends = m.select(F.col("c").alias("sub_c"), (F.col("c") + 1).alias("base_c")).distinct()
-    sub, base = m.select(F.col("p_partkey").alias("sub"), "p_name", F.col("c").alias("sub_c")), m.select(F.col("p_partkey").alias("base"), "p_name", F.col("c").alias("base_c"))
-    place = F.row_number().over(Window.partitionBy("sub_c", "p_name").orderBy("sub", "base"))
-    return extends.join(sub, "sub_c").join(base, ["base_c", "p_name"]).withColumn("n", place).filter("n <= 3").select("sub", "base")
+    base = m.groupBy((F.col("c") - 1).alias("c"), "p_name").agg(F.max("p_partkey").alias("base"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy("sub"))
+    return m.withColumnRenamed("p_partkey", "sub").join(base, ["c", "p_name"]).withColumn("n", place).filter(F.col("n") <= CHANNEL_CAP).select("sub", "base")
 
 
 @query("graph_j19_tightest_enclosing", """WITH s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS sid, l_suppkey AS key, epoch(l_shipdate) // 86400 AS a, epoch(l_shipdate) // 86400 + CAST(l_quantity AS BIGINT) AS b FROM lineitem), p AS (SELECT o_orderkey AS pid, o_custkey % 100 AS key, epoch(o_orderdate) // 86400 AS pt FROM orders)
@@ -322,17 +325,9 @@ def line_spans(spark, d):
     return lineitem(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("key"), day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("stop")).distinct()
 
 
-@query("graph_j20_overlap", """WITH l AS (SELECT o_orderkey AS id, o_custkey % 100 AS key, epoch(o_orderdate) // 86400 AS a, epoch(o_orderdate) // 86400 + 7 AS b FROM orders WHERE o_custkey % 10 = 0), r AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS key, epoch(l_shipdate) // 86400 AS a, epoch(l_shipdate) // 86400 + CAST(l_quantity AS BIGINT) AS b FROM lineitem WHERE l_suppkey % 10 = 0)
+@query("graph_j20_overlap", """WITH l AS (SELECT o_orderkey AS id, o_custkey % 100 AS key, epoch(o_orderdate) // 86400 AS a, epoch(o_orderdate) // 86400 + 7 AS b FROM orders), r AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS key, epoch(l_shipdate) // 86400 AS a, epoch(l_shipdate) // 86400 + CAST(l_quantity AS BIGINT) AS b FROM lineitem)
 SELECT l.id AS lid, r.id AS rid FROM l JOIN r ON l.key = r.key AND l.a <= r.b AND r.a <= l.b""")
 def j20(spark, d):
-    left, right = order_spans(spark, d), line_spans(spark, d)
-    return graph.overlapping(left.filter("key % 10 = 0"), right.filter("key % 10 = 0"), "key", 32)
-
-
-@query("graph_j20_overlap_all", """WITH l AS (SELECT o_orderkey AS id, o_custkey % 100 AS key, epoch(o_orderdate) // 86400 AS a, epoch(o_orderdate) // 86400 + 7 AS b FROM orders), r AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS key, epoch(l_shipdate) // 86400 AS a, epoch(l_shipdate) // 86400 + CAST(l_quantity AS BIGINT) AS b FROM lineitem)
-SELECT l.id AS lid, r.id AS rid FROM l JOIN r ON l.key = r.key AND l.a <= r.b AND r.a <= l.b""")
-def j20_all(spark, d):
-    """Over all orders and lineitems; graph_j20_overlap keeps every tenth key, as its SQL does."""
     return graph.overlapping(order_spans(spark, d), line_spans(spark, d), "key", 32)
 
 

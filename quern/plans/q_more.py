@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import resolve, search
+from quern.operators import keyed, resolve, search
 from quern.plans.checkpoints import cut
 from quern.plans.registry import registry
 from quern.sources import extract
@@ -68,24 +68,12 @@ def j29(spark, d):
     return c.groupBy("n_name").agg(F.max_by("c_name", "o").alias("latest"))
 
 
-_S4 = r"""l AS (SELECT project_id, path, language, unnest(range(1, len(x) + 1)) AS line, unnest(x) AS t FROM (SELECT DISTINCT project_id, path, language, regexp_split_to_array(content, '\n') AS x FROM source_files))"""
-
-
-@query("io_s4_symbols", rf"""WITH {_S4}, m AS (SELECT project_id, path, line, CASE WHEN language = 'python' AND regexp_matches(t, '^\s*(?:async\s+)?def\s+\w+') THEN ['function', regexp_extract(t, '^\s*(?:async\s+)?def\s+(\w+)', 1)] WHEN language = 'python' AND regexp_matches(t, '^\s*class\s+\w+') THEN ['class', regexp_extract(t, '^\s*class\s+(\w+)', 1)]
-WHEN language = 'go' AND regexp_matches(t, '^func\s+(?:\([^)]*\)\s*)?\w+') THEN ['function', regexp_extract(t, '^func\s+(?:\([^)]*\)\s*)?(\w+)', 1)] WHEN language = 'go' AND regexp_matches(t, '^type\s+\w+\s+struct\b') THEN ['struct', regexp_extract(t, '^type\s+(\w+)\s+struct\b', 1)]
-WHEN language = 'rust' AND regexp_matches(t, '^\s*(?:pub\s+)?fn\s+\w+') THEN ['function', regexp_extract(t, '^\s*(?:pub\s+)?fn\s+(\w+)', 1)] WHEN language = 'rust' AND regexp_matches(t, '^\s*(?:pub\s+)?struct\s+\w+') THEN ['struct', regexp_extract(t, '^\s*(?:pub\s+)?struct\s+(\w+)', 1)] END AS d FROM l)
-SELECT project_id, path, d[1] AS kind, d[2] AS name, CAST(line AS INTEGER) AS line FROM m WHERE d IS NOT NULL""")
+@query("io_s4_symbols", extract.symbols_sql())
 def s4(spark, d):
-    return extract.symbols(table(spark, d, "source_files").filter("language IN ('python', 'go', 'rust')"))
-
-
-@query("io_s4_symbols_all")
-def s4_all(spark, d):
-    """Of every language with patterns; io_s4_symbols has three, as its SQL does."""
     return extract.symbols(table(spark, d, "source_files"))
 
 
-@query("resolve_e34_hunks")
+@query("resolve_e34_hunks", "SELECT doc_id AS doc, 1 AS old_start, CAST(doc_id AS INTEGER) AS old_lines, 2 AS new_start, 1 AS new_lines FROM documents UNION ALL SELECT doc_id, 9, 1, 7, 3 FROM documents")
 def e34(spark, d):
     """Hunk ranges of diffs made of the documents' ids."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("--- a\n+++ b\n@@ -1,"), F.col("doc_id").cast("string"), F.lit(" +2 @@ x\n-a\n+b\n@@ -9 +7,3 @@\n")).alias("patch"))
@@ -102,18 +90,21 @@ def e7(spark, d):
     return f.join(F.broadcast(first)).select("path", resolve.proximity(run["n"]).alias("points"))
 
 
-@query("resolve_e33_reexport_chain", "WITH RECURSIVE r AS (SELECT o_custkey AS a, o_custkey // 2 AS b FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), c AS (SELECT a AS start, b AS place, 1 AS hops FROM r UNION ALL SELECT c.start, r.b, hops + 1 FROM c JOIN r ON r.a = c.place WHERE hops < 8) SELECT start, arg_max(place, hops) AS definition, max(hops) AS hops FROM c GROUP BY 1")
+@query("resolve_e33_reexport_chain", "WITH RECURSIVE r AS (SELECT o_custkey AS a, o_custkey // 2 AS b FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), c AS (SELECT a AS start, b AS place, 1 AS hops FROM r UNION ALL SELECT c.start, r.b, hops + 1 FROM c JOIN r ON r.a = c.place) SELECT start, arg_max(place, hops) AS definition, max(hops) AS hops FROM c GROUP BY 1")
 def e33(spark, d):
-    """Follow re-exports to the definition: bounded rounds of an equi-join."""
+    """Follow re-exports to the definition; pointers double, so a chain takes logarithmically many rounds and a circle ends."""
     hops = cut(orders(spark, d).filter("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("a"), F.expr("o_custkey div 2").alias("b")).distinct())
-    chain, done = hops.select(F.col("a").alias("start"), F.col("b").alias("at")), None
-    for n in range(1, 9):
-        step = chain.withColumn("hops", F.lit(n))
-        done = step if done is None else done.unionByName(step)
-        chain = cut(chain.join(hops, F.col("at") == F.col("a")).select("start", F.col("b").alias("at")))
-        if chain.isEmpty():
+    one = hops.groupBy("a").agg(F.min("b").alias("b"))  # a module re-exports a name from one place
+    chain = cut(one.select(F.col("a").alias("start"), F.col("b").alias("at"), F.lit(1).alias("hops")))
+    ends = -1
+    while True:
+        ahead = chain.select(F.col("start").alias("at"), F.col("at").alias("far"), F.col("hops").alias("more"))
+        chain = cut(chain.join(ahead, "at", "left").select("start", F.coalesce("far", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+        open_ = chain.join(one.select(F.col("a").alias("at")), "at", "left_semi").count()
+        if open_ in (0, ends):  # those that stay open go round in a circle
             break
-    return done.groupBy("start").agg(F.max_by("at", "hops").alias("definition"), F.max("hops").alias("hops"))
+        ends = open_
+    return chain.join(one.select(F.col("a").alias("at")), "at", "left_anti").select("start", F.col("at").alias("definition"), "hops")
 
 
 @query("search_x17_imports_to_definitions", f"WITH {GRAPH_SQL}, hits AS (SELECT id, kind, CAST(k % 7 AS INTEGER) AS score FROM nodes WHERE kind IN ('class', 'function')) SELECT id, max(score) AS score FROM (SELECT id, score FROM hits WHERE kind <> 'class' UNION ALL SELECT e.target, h.score FROM hits h JOIN edges e ON e.source = h.id AND e.kind = 'contains' WHERE h.kind = 'class') GROUP BY 1")
@@ -180,3 +171,52 @@ def f15(spark, d):
     this = F.trunc("now", "month")
     start = F.when(clamp(this) <= F.col("now"), clamp(this)).otherwise(clamp(F.add_months(this, -1)))
     return a.select("user_id", F.date_format(start, "yyyy-MM-dd").alias("start"))
+
+
+@query("search_u4_merged_filters", f"WITH {_N} SELECT id FROM nodes WHERE kind IN ('class', 'field', 'function')")
+def u4(spark, d):
+    """Kinds written in the query beside those of the options."""
+    asked = search.parse_query("kind:function kind:class", {"function", "class", "field"}, set())
+    return nodes(spark, d).filter(F.col("kind").isin(*search.merged_filter(asked.kinds, ["field", "function"]))).select("id")
+
+
+_WORDS = "SELECT item_id, list_distinct(regexp_extract_all(lower(item_text), '[a-z]{3,}')) AS ws FROM eval_item WHERE item_text IS NOT NULL"
+
+
+@query("search_x18_term_groups", f"""WITH RECURSIVE t AS (SELECT item_id, list_transform(list_sort(list_transform(ws, lambda w: (-length(w), w))), lambda x: x[2]) AS rest FROM ({_WORDS})),
+g AS (SELECT item_id, rest, CAST([] AS VARCHAR[]) AS grp, 0 AS no FROM t
+  UNION ALL SELECT item_id, list_filter(rest, lambda x: NOT (contains(rest[1], x) OR contains(x, rest[1]))), list_filter(rest, lambda x: contains(rest[1], x) OR contains(x, rest[1])), no + 1 FROM g WHERE len(rest) > 0)
+SELECT item_id, no, array_to_string(grp, ' ') AS terms FROM g WHERE no > 0""")
+def x18(spark, d):
+    words = F.regexp_extract_all(F.lower("item_text"), F.lit("[a-z]{3,}"), F.lit(0))
+    items = table(spark, d, "eval_item").filter("item_text IS NOT NULL")
+    return items.select("item_id", F.posexplode(search.term_groups(words)).alias("no", "g")).select("item_id", (F.col("no") + 1).alias("no"), F.array_join("g", " ").alias("terms"))
+
+
+@query("resolve_e15_patch_signals", r"""WITH p AS (SELECT DISTINCT project_id, path, CASE WHEN size % 2 = 0 THEN '+' ELSE '-' END AS mark, content FROM source_files WHERE content IS NOT NULL AND size IS NOT NULL), q AS (SELECT project_id, path, mark || replace(content, chr(10), chr(10) || mark) AS patch FROM p)
+SELECT project_id, path, kind, change FROM q, (VALUES ('import_statement', 'added', '(?m)^\+\s*(?:import(?:\s|["''{*])|from\s+.+\s+import\s)'), ('import_statement', 'removed', '(?m)^-\s*(?:import(?:\s|["''{*])|from\s+.+\s+import\s)'), ('export_boundary', 'added', '(?m)^\+export(?:\s|\{|\*)'), ('export_boundary', 'removed', '(?m)^-export(?:\s|\{|\*)')) s(kind, change, p) WHERE regexp_matches(patch, s.p)""")
+def e15(spark, d):
+    """Files as patches that add or remove all of their lines."""
+    mark = F.when(F.col("size") % 2 == 0, "+").otherwise("-")
+    files = table(spark, d, "source_files").filter("content IS NOT NULL AND size IS NOT NULL").select("project_id", "path", mark.alias("mark"), "content").distinct()
+    patch = F.concat("mark", F.replace("content", F.lit("\n"), F.concat(F.lit("\n"), "mark")))
+    return files.select("project_id", "path", F.explode(search.patch_signals(patch)).alias("s")).select("project_id", "path", "s.kind", "s.change")
+
+
+@query("tables_r4_claim_owner", "WITH s AS (SELECT aggregate_id, max(seq) AS seq FROM sync_event WHERE aggregate_id IS NOT NULL GROUP BY 1), c AS (SELECT aggregate_id, max(split_part(type, '.', 1)) AS o FROM sync_event WHERE seq % 2 = 0 GROUP BY 1) SELECT s.aggregate_id, seq, coalesce(o, 'none') AS owner_id FROM s LEFT JOIN c USING (aggregate_id)")
+def r4(spark, d):
+    """The newest sequence number of each aggregate with the owner that claimed it last."""
+    e = table(spark, d, "sync_event").filter("aggregate_id IS NOT NULL")
+    newest = e.groupBy("aggregate_id").agg(F.max("seq").alias("seq")).withColumn("owner_id", F.lit("none"))
+    return keyed.claim(newest, e.filter("seq % 2 = 0").select("aggregate_id", F.substring_index("type", ".", 1).alias("owner_id")), ["aggregate_id"], "owner_id")
+
+
+@query("io_s5_references", extract.references_sql())
+def s5(spark, d):
+    return extract.references(table(spark, d, "source_files"))
+
+
+@query("resolve_e13_import_targets")
+def e13(spark, d):
+    f = table(spark, d, "source_files")
+    return resolve.import_targets(extract.references(f).filter("kind = 'imports'"), f)

@@ -21,17 +21,13 @@ _SYM = """
 sym AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_type || '::' || p_name AS qualified_name, 'src/' || lower(p_type) || '/' || p_brand || '.ts' AS file_path, CASE p_partkey % 3 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' ELSE 'go' END AS language,
   CASE p_size % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'struct' ELSE 'field' END AS kind, p_partkey % 2 = 0 AS is_exported, CAST(p_partkey % 1000 AS INTEGER) AS start_line FROM part),
 ref AS (SELECT 'r' || p_partkey AS ref_id, p_name AS name, 'src/' || lower(p_type) || '/' || replace(p_brand, '1', '2') || '.ts' AS file_path, CASE p_size % 3 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' ELSE 'go' END AS language,
-  CASE p_size % 3 WHEN 0 THEN 'calls' WHEN 1 THEN 'instantiates' ELSE 'decorates' END AS kind, p_size AS line FROM part WHERE p_partkey % 7 = 0),
+  CASE p_size % 3 WHEN 0 THEN 'calls' WHEN 1 THEN 'instantiates' ELSE 'decorates' END AS kind, p_size AS line FROM part),
 dirs AS (SELECT ref_id, id, r.file_path = s.file_path AS own, CASE WHEN split_part(r.file_path, '/', 2) = split_part(s.file_path, '/', 2) THEN 2 ELSE 1 END AS shared,
   r.language = s.language AS lang, r.kind AS rk, s.kind AS sk, is_exported, start_line, line FROM ref r JOIN sym s USING (name)),
 scored AS (SELECT *, least(shared * 15, 80) + CASE WHEN own THEN 100 ELSE 0 END + CASE WHEN lang THEN 50 ELSE -80 END + CASE WHEN rk = 'calls' AND sk = 'function' THEN 25 WHEN rk = 'instantiates' AND sk IN ('class', 'struct') THEN 25 WHEN rk = 'decorates' AND sk = 'function' THEN 25 WHEN rk = 'decorates' AND sk = 'class' THEN 15 ELSE 0 END
   + CASE WHEN is_exported THEN 10 ELSE 0 END + CASE WHEN own AND start_line > 0 THEN greatest(0.0, 20 - abs(start_line - line) / 10.0) ELSE 0 END AS score FROM dirs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, id) AS p, count(*) OVER (PARTITION BY ref_id) AS n FROM scored)
 """
-#: The same with every part as a reference.
-_SYM_ALL = _SYM.replace(" WHERE p_partkey % 7 = 0", "")
-#: The older queries take only these rows as references, as their SQL does; those named _all take every row.
-SEVENTH = "p_partkey % 7 = 0"
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -42,9 +38,9 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def refs(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
+def refs(spark: SparkSession, d: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
-    return table(spark, d, "part").filter(only).select(
+    return table(spark, d, "part").select(
         F.concat(F.lit("r"), k.cast("string")).alias("ref_id"), F.col("p_name").alias("name"), F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), F.replace("p_brand", F.lit("1"), F.lit("2")), F.lit(".ts")).alias("file_path"),
         F.element_at(F.array(*map(F.lit, LANGUAGE)), size % 3 + 1).alias("language"), F.element_at(F.array(*map(F.lit, ("calls", "instantiates", "decorates"))), size % 3 + 1).alias("kind"), size.alias("line"),
     )
@@ -52,11 +48,6 @@ def refs(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
 
 @query("resolve_e6_best_match", f"WITH {_SYM} SELECT ref_id, id, round(CAST(score AS DOUBLE), 4) AS score, n FROM ranked WHERE p = 1")
 def e6(spark, d):
-    return _e6(refs(spark, d, SEVENTH), symbols(spark, d))
-
-
-@query("resolve_e6_best_match_all", f"WITH {_SYM_ALL} SELECT ref_id, id, round(CAST(score AS DOUBLE), 4) AS score, n FROM ranked WHERE p = 1")
-def e6_all(spark, d):
     return _e6(refs(spark, d), symbols(spark, d))
 
 
@@ -66,11 +57,6 @@ def _e6(asked, sym):
 
 @query("resolve_e3_exact_name", f"WITH {_SYM} SELECT ref_id, id, CAST(CASE WHEN n = 1 THEN CASE WHEN lang THEN 0.9 ELSE 0.5 END WHEN least(shared * 15, 80) >= 30 THEN 0.7 ELSE 0.4 END AS DOUBLE) AS confidence FROM ranked WHERE p = 1 AND (n = 1 OR score > -1)")
 def e3(spark, d):
-    return resolve.by_name(refs(spark, d, SEVENTH), symbols(spark, d)).select("ref_id", "id", "confidence")
-
-
-@query("resolve_e3_exact_name_all", f"WITH {_SYM_ALL} SELECT ref_id, id, CAST(CASE WHEN n = 1 THEN CASE WHEN lang THEN 0.9 ELSE 0.5 END WHEN least(shared * 15, 80) >= 30 THEN 0.7 ELSE 0.4 END AS DOUBLE) AS confidence FROM ranked WHERE p = 1 AND (n = 1 OR score > -1)")
-def e3_all(spark, d):
     return resolve.by_name(refs(spark, d), symbols(spark, d)).select("ref_id", "id", "confidence")
 
 
@@ -81,13 +67,8 @@ def e2(spark, d):
     return resolve.by_path(asked, f.select(F.concat(F.lit("f:"), "path").alias("id"), F.substring_index("path", "/", -1).alias("name"), F.col("path").alias("file_path"))).select("ref_id", "id", "confidence")
 
 
-@query("resolve_e4_qualified", f"WITH {_SYM}, q AS (SELECT 'q' || p_partkey AS ref_id, p_type || '::' || p_name AS name FROM part WHERE p_partkey % 11 = 0), m AS (SELECT q.ref_id, s.id, s.qualified_name = q.name AS exact, ends_with(s.qualified_name, '::' || q.name) AS ends FROM q JOIN sym s ON s.name = split_part(q.name, '::', 2)) SELECT * FROM (SELECT ref_id, CASE WHEN count(*) FILTER (exact) = 1 THEN min(id) FILTER (exact) ELSE min(id) FILTER (ends) END AS id FROM m GROUP BY 1) WHERE id IS NOT NULL")
+@query("resolve_e4_qualified", f"WITH {_SYM}, q AS (SELECT 'q' || p_partkey AS ref_id, p_type || '::' || p_name AS name FROM part), m AS (SELECT q.ref_id, s.id, s.qualified_name = q.name AS exact, ends_with(s.qualified_name, '::' || q.name) AS ends FROM q JOIN sym s ON s.name = split_part(q.name, '::', 2)) SELECT * FROM (SELECT ref_id, CASE WHEN count(*) FILTER (exact) = 1 THEN min(id) FILTER (exact) ELSE min(id) FILTER (ends) END AS id FROM m GROUP BY 1) WHERE id IS NOT NULL")
 def e4(spark, d):
-    return _e4(table(spark, d, "part").filter("p_partkey % 11 = 0"), symbols(spark, d))
-
-
-@query("resolve_e4_qualified_all", f"WITH {_SYM}, q AS (SELECT 'q' || p_partkey AS ref_id, p_type || '::' || p_name AS name FROM part), m AS (SELECT q.ref_id, s.id, s.qualified_name = q.name AS exact, ends_with(s.qualified_name, '::' || q.name) AS ends FROM q JOIN sym s ON s.name = split_part(q.name, '::', 2)) SELECT * FROM (SELECT ref_id, CASE WHEN count(*) FILTER (exact) = 1 THEN min(id) FILTER (exact) ELSE min(id) FILTER (ends) END AS id FROM m GROUP BY 1) WHERE id IS NOT NULL")
-def e4_all(spark, d):
     return _e4(table(spark, d, "part"), symbols(spark, d))
 
 
@@ -96,14 +77,8 @@ def _e4(parts, sym):
     return resolve.by_qualified(asked, sym).select("ref_id", "id")
 
 
-@query("resolve_e8_lower_name", "WITH s AS (SELECT 'c' || c_custkey AS id, lower(c_name) AS low, CASE c_custkey % 3 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' ELSE 'go' END AS lang FROM customer), r AS (SELECT 'r' || c_custkey AS ref_id, lower(c_name) AS low, 'python' AS lang FROM customer WHERE c_custkey % 5 = 0) SELECT ref_id, id, CAST(CASE WHEN r.lang = s.lang THEN 0.5 ELSE 0.3 END AS DOUBLE) AS confidence FROM r JOIN s USING (low)")
+@query("resolve_e8_lower_name", "WITH s AS (SELECT 'c' || c_custkey AS id, lower(c_name) AS low, CASE c_custkey % 3 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' ELSE 'go' END AS lang FROM customer), r AS (SELECT 'r' || c_custkey AS ref_id, lower(c_name) AS low, 'python' AS lang FROM customer) SELECT ref_id, id, CAST(CASE WHEN r.lang = s.lang THEN 0.5 ELSE 0.3 END AS DOUBLE) AS confidence FROM r JOIN s USING (low)")
 def e8(spark, d):
-    c = table(spark, d, "customer")
-    return _e8(c, c.filter("c_custkey % 5 = 0"))
-
-
-@query("resolve_e8_lower_name_all", "WITH s AS (SELECT 'c' || c_custkey AS id, lower(c_name) AS low, CASE c_custkey % 3 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' ELSE 'go' END AS lang FROM customer), r AS (SELECT 'r' || c_custkey AS ref_id, lower(c_name) AS low, 'python' AS lang FROM customer) SELECT ref_id, id, CAST(CASE WHEN r.lang = s.lang THEN 0.5 ELSE 0.3 END AS DOUBLE) AS confidence FROM r JOIN s USING (low)")
-def e8_all(spark, d):
     c = table(spark, d, "customer")
     return _e8(c, c)
 
@@ -143,11 +118,6 @@ def e9(spark, d):
 
 @query("resolve_e10_edge_creation", f"WITH {_SYM} SELECT ref_id AS source, id AS target, CASE WHEN rk = 'calls' AND sk = 'class' THEN 'instantiates' ELSE rk END AS kind FROM ranked WHERE p = 1")
 def e10(spark, d):
-    return _e10(refs(spark, d, SEVENTH), symbols(spark, d))
-
-
-@query("resolve_e10_edge_creation_all", f"WITH {_SYM_ALL} SELECT ref_id AS source, id AS target, CASE WHEN rk = 'calls' AND sk = 'class' THEN 'instantiates' ELSE rk END AS kind FROM ranked WHERE p = 1")
-def e10_all(spark, d):
     return _e10(refs(spark, d), symbols(spark, d))
 
 
@@ -169,13 +139,8 @@ def e22(spark, d):
     return resolve.channel_edges(r, e, 5)
 
 
-@query("resolve_e25_stub_impl", "WITH s AS (SELECT DISTINCT l_suppkey AS owner, l_partkey % 50 AS m FROM lineitem WHERE l_orderkey % 40 = 0), c AS (SELECT DISTINCT o_custkey AS owner, l_partkey % 50 AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey), p AS (SELECT s.owner AS stub, c.owner AS impl, count(*) AS met FROM s JOIN c USING (m) GROUP BY ALL), n AS (SELECT owner, count(*) AS need FROM s GROUP BY 1) SELECT stub, impl FROM p JOIN n ON n.owner = stub WHERE met = need AND stub <> impl")
+@query("resolve_e25_stub_impl", "WITH s AS (SELECT DISTINCT l_suppkey AS owner, l_partkey % 50 AS m FROM lineitem), c AS (SELECT DISTINCT o_custkey AS owner, l_partkey % 50 AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey), p AS (SELECT s.owner AS stub, c.owner AS impl, count(*) AS met FROM s JOIN c USING (m) GROUP BY ALL), n AS (SELECT owner, count(*) AS need FROM s GROUP BY 1) SELECT stub, impl FROM p JOIN n ON n.owner = stub WHERE met = need AND stub <> impl")
 def e25(spark, d):
-    return _e25(lineitem(spark, d).filter("l_orderkey % 40 = 0"), spark, d)
-
-
-@query("resolve_e25_stub_impl_all", "WITH s AS (SELECT DISTINCT l_suppkey AS owner, l_partkey % 50 AS m FROM lineitem), c AS (SELECT DISTINCT o_custkey AS owner, l_partkey % 50 AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey), p AS (SELECT s.owner AS stub, c.owner AS impl, count(*) AS met FROM s JOIN c USING (m) GROUP BY ALL), n AS (SELECT owner, count(*) AS need FROM s GROUP BY 1) SELECT stub, impl FROM p JOIN n ON n.owner = stub WHERE met = need AND stub <> impl")
-def e25_all(spark, d):
     return _e25(lineitem(spark, d), spark, d)
 
 

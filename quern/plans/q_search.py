@@ -37,6 +37,24 @@ def x3(spark, d):
     return search.bm25(search.with_search_text(nodes(spark, d)), "red wid", 20).select("id", F.round("score", 6).alias("score"))
 
 
+def _described(spark, d):
+    n = search.with_search_text(nodes(spark, d))
+    return n.withColumns({"signature": F.concat("name", F.lit("("), "kind", F.lit(")")), "docstring": F.concat(F.lit("red of "), "file_path")})
+
+
+#: The same with the words of signature (2) and docstring (1).
+_FIVE = (
+    _bm25_sql(["red", "wid"]).replace("AS b FROM nodes)", "AS b, list_filter(regexp_split_to_array(lower(name || '(' || kind || ')'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS sg, list_filter(regexp_split_to_array(lower('red of ' || file_path), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS dc FROM nodes)")
+    .replace("SELECT id, a, b, list_distinct", "SELECT id, a, b, sg, dc, list_distinct").replace("len(a) + len(b) + len(c)", "len(a) + len(b) + len(c) + len(sg) + len(dc)")
+    .replace("AS f FROM s, p", "+ 2.0 * len(list_filter(sg, lambda x: starts_with(x, prefix))) + 1.0 * len(list_filter(dc, lambda x: starts_with(x, prefix))) AS f FROM s, p")
+)
+
+
+@query("search_x3_bm25_five_columns", f"WITH {_N}, {_FIVE} SELECT id, round(score, 6) AS score FROM (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 100)")
+def x3_five(spark, d):
+    return search.bm25(_described(spark, d), "red wid", 20).select("id", F.round("score", 6).alias("score"))
+
+
 @query("search_x2_prefix_groups", f"WITH {_N}, {_bm25_sql(['redwidget', 'red', 'widget'])} SELECT id FROM (SELECT id, score FROM bm WHERE list_contains(met, 'redwidget') OR (list_contains(met, 'red') AND list_contains(met, 'widget')) ORDER BY score DESC, id LIMIT 100)")
 def x2(spark, d):
     return search.bm25(search.with_search_text(nodes(spark, d)), "redWidget", 20).select("id")
@@ -141,7 +159,22 @@ def x11(spark, d):
     return nodes(spark, d).select("file_path").distinct().select("file_path", T.path_relevance(F.col("file_path"), ["nation", "asia"], False).alias("score"))
 
 
-@query("search_x7_stems")
+def _stems_sql() -> str:
+    cut = lambda k: f"left(w, length(w) - {k})"
+    doubled = lambda b: f"CASE WHEN length({b}) >= 2 AND right({b}, 1) = left(right({b}, 2), 1) THEN left({b}, length({b}) - 1) END"
+    ing, er, ed = "(w LIKE '%ing' AND length(w) > 5)", "(w LIKE '%er' AND length(w) > 4)", "(w LIKE '%ed' AND w NOT LIKE '%eed' AND length(w) > 4)"
+    when = lambda c, x: f"CASE WHEN {c} THEN {x} END"
+    forms = [
+        when(ing, cut(3)), when(ing, cut(3) + " || 'e'"), when(ing, doubled(cut(3))), when("(w LIKE '%tion' OR w LIKE '%sion') AND length(w) > 5", cut(3)), when("w LIKE '%ment' AND length(w) > 6", cut(4)),
+        f"CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN {cut(3)} || 'y' WHEN w LIKE '%es' AND length(w) > 4 THEN {cut(2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 4 THEN {cut(1)} END",
+        when(ed, cut(1)), when(ed, cut(2)), when(f"{ed} AND w LIKE '%ied' AND length(w) > 5", cut(3) + " || 'y'"), when(er, cut(2)), when(er, cut(2) + " || 'e'"), when(er, doubled(cut(2))),
+    ]
+    return f"""WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT w, list_filter([{", ".join(forms)}], lambda v: v IS NOT NULL AND length(v) >= 3 AND v <> w) AS l FROM t WHERE regexp_full_match(w, '[a-z]+'))
+SELECT w, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ' ') AS stems FROM f WHERE len(l) > 0"""
+
+
+@query("search_x7_stems", _stems_sql())
 def x7(spark, d):
     words = documents(spark, d).select(F.explode(search.terms(F.col("text"))).alias("w")).filter(F.col("w").rlike("^[a-z]+$")).distinct()
     return words.select("w", F.array_join(T.stem_variants(F.col("w")), " ").alias("stems")).filter("stems <> ''")
@@ -149,7 +182,7 @@ def x7(spark, d):
 
 @query("search_x8_terms")
 def x8(spark, d):
-    return documents(spark, d).select("doc_id", F.array_join(F.slice(T.search_terms(F.col("text")), 1, 50), " ").alias("terms"))
+    return documents(spark, d).select("doc_id", F.array_join(T.search_terms(F.col("text")), " ").alias("terms"))
 
 
 @query("search_x19_low_confidence", f"WITH {_N} SELECT kind, NOT bool_or(regexp_matches(name, '[_0-9]') OR regexp_matches(name, '^.+[A-Z]')) AS low FROM nodes WHERE name ILIKE '%a%' GROUP BY 1")
@@ -233,13 +266,18 @@ def f6(spark, d):
     return documents(spark, d).join(F.broadcast(item)).select("doc_id", T.supported_by(F.col("item"), F.col("text")).alias("supported"))
 
 
-@query("text_f8_citations")
+@query("text_f8_citations", r"""WITH t AS (SELECT doc_id, text, text || chr(10) || '<memory-citation version=1><entries>' || chr(10) || 'project/a.md:3-5 | note=[x]' || chr(10) || '/bad:1-2 | note=[y]' || chr(10) || '</entries></memory-citation>' || chr(10) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, regexp_replace(regexp_replace(t, '(?is)<memory-citation\b[^>]*>.*?(?:</memory-citation\s*>|\z)', '', 'g'), '[ \t\n\x0b\f\r]+\z', '') = regexp_replace(text, '[ \t\n\x0b\f\r]+\z', '') AS restored,
+CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^\s*(global|project)/[^\r\n:]*:[0-9]+-[0-9]+\s*\|\s*note=\[[^\r\n]*\]\s*$'))) AS INTEGER) AS entries FROM t""")
 def f8(spark, d):
     t = F.concat("text", F.lit("\n<memory-citation version=1><entries>\nproject/a.md:3-5 | note=[x]\n/bad:1-2 | note=[y]\n</entries></memory-citation>\n"))
     return documents(spark, d).select("doc_id", (T.strip_citations(t) == F.regexp_replace("text", r"\s+\z", "")).alias("restored"), F.size(T.citation_entries(t)).alias("entries"))
 
 
-@query("text_f9_head_lines")
+@query("text_f9_head_lines", """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, i, sum(strlen(ls[i]) + CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS bytes FROM l, unnest(range(1, len(ls) + 1)) t(i)),
+k AS (SELECT doc_id, count(*) FILTER (i <= 20 AND bytes <= 500) AS n, coalesce(max(bytes) FILTER (i <= 20 AND bytes <= 500), 0) AS b, coalesce(bool_or(bytes > 500) FILTER (i <= 20), false) AS hit FROM x GROUP BY 1)
+SELECT doc_id, CAST(length(array_to_string(ls[1:n], chr(10))) AS INTEGER) AS kept, CAST(CASE WHEN hit THEN strlen(text) - b ELSE len(ls) - n END AS INTEGER) AS removed, CASE WHEN hit THEN 'bytes' ELSE 'lines' END AS unit FROM l JOIN k USING (doc_id)""")
 def f9(spark, d):
     return documents(spark, d).select("doc_id", T.head_lines(F.col("text"), 20, 500).alias("h")).select("doc_id", F.length("h.kept").alias("kept"), "h.removed", "h.unit")
 

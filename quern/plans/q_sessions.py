@@ -248,10 +248,10 @@ def t4(spark, d):
     return orders(spark, d).orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).offset(100).limit(50).select("o_orderkey")
 
 
-@query("session_t6_seeded_sample")
+@query("session_t6_seeded_sample", "SELECT c_custkey, c_name FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 100")
 def t6(spark, d):
     """100 customers in the order of a seeded hash: a sample that doesn't depend on the order of rows."""
-    return table(spark, d, "customer").orderBy(F.xxhash64(F.lit(42), "c_custkey")).limit(100).select("c_custkey", "c_name")
+    return table(spark, d, "customer").orderBy(F.md5(F.concat(F.lit("42:"), F.col("c_custkey").cast("string"))), "c_custkey").limit(100).select("c_custkey", "c_name")
 
 
 @query("session_t8_first_eligible", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 1")

@@ -38,13 +38,20 @@ def rolling(spark, d):
     return replay.last_of(replay.run(folded, "update"), ["user_id"]).select("user_id", minute(F.timestamp_micros("anchor")).alias("anchor"), "total")
 
 
-@query("stream_r2_replay_check")
+@query("stream_r2_replay_check", """WITH RECURSIVE o AS (SELECT aggregate_id, seq, row_number() OVER (PARTITION BY aggregate_id ORDER BY received_at, seq) AS n FROM sync_event WHERE seq IS NOT NULL AND received_at IS NOT NULL),
+f AS (SELECT DISTINCT aggregate_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS latest, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS ignored, CAST(0 AS BIGINT) AS gaps FROM o
+  UNION ALL SELECT o.aggregate_id, o.n, CASE WHEN seq = latest + 1 THEN seq ELSE latest END, applied + CASE WHEN seq = latest + 1 THEN 1 ELSE 0 END, ignored + CASE WHEN seq <= latest THEN 1 ELSE 0 END, gaps + CASE WHEN seq > latest + 1 THEN 1 ELSE 0 END
+  FROM f JOIN o ON o.aggregate_id IS NOT DISTINCT FROM f.aggregate_id AND o.n = f.n + 1)
+SELECT aggregate_id, max_by(latest, n) AS latest, max_by(applied, n) AS applied, max_by(ignored, n) AS ignored, max_by(gaps, n) AS gaps FROM f GROUP BY 1""")
 def check(spark, d):
     rows = replay.read(spark, d, "sync_event").select("aggregate_id", "seq", F.unix_micros("received_at").alias("received"))
     return replay.last_of(replay.run(stateful.replay_check(rows), "update"), ["aggregate_id"])
 
 
-@query("stream_r21_sticky_choice")
+@query("stream_r21_sticky_choice", """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS n FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, '' AS choice, CAST(-1 AS BIGINT) AS upto FROM o
+  UNION ALL SELECT o.user_id, o.n, CASE WHEN t >= upto THEN event_type ELSE choice END, t + 86400000000 FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT user_id, max_by(choice, n) AS choice, max_by(upto, n) AS until FROM f GROUP BY 1""")
 def sticky(spark, d):
     rows = facts(spark, d).select("user_id", F.unix_micros("ts").alias("at"), F.col("event_type").alias("choice"))
     return replay.last_of(replay.run(stateful.sticky(rows, 86_400), "update"), ["user_id"])

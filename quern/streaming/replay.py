@@ -17,12 +17,14 @@ from quern.plans.checkpoints import ensure_dir
 from quern.sources.tables import table, with_timestamps
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+#: Files of one micro-batch, at most.
+FILES_PER_BATCH = 64
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """A table's files as a stream, with its batch schema; zone-less timestamps as TIMESTAMP."""
     schema = table(spark, sf_dir, name).schema
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     one = f"{sf_dir}/{name}.parquet"
     whole = spark._jvm.org.apache.hadoop.fs.Path(one)
     is_folder = whole.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(whole).isDirectory()

@@ -1,7 +1,9 @@
 """Keyed state over streams: rolling budgets, replay checks, sticky assignments.
 
-State per key is a few numbers, never the key's rows; groups arrive as
-iterators of Arrow batches.
+State per key is a few numbers. Groups arrive as iterators of Arrow batches; a
+micro-batch's rows of a key are put in order as columns of numbers (16 bytes a
+row), and the files of a micro-batch are bounded (`replay.FILES_PER_BATCH`).
+Rows without a time or number are passed over.
 """
 
 from __future__ import annotations
@@ -13,6 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _ordered(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """The rows of a key's batches in the order of their columns."""
+    rows = pd.concat([b[list(columns)] for b in batches]).dropna()
+    rows = rows.sort_values(list(columns), kind="stable")
+    return zip(*(rows[c].to_numpy() for c in columns))
+
+
 def rolling_budget(stream: DataFrame, window_seconds: int) -> DataFrame:
     """user_id, anchor (microseconds), total after each batch: amounts within the window of the anchor add up, a later one begins anew.
 
@@ -23,11 +32,14 @@ def rolling_budget(stream: DataFrame, window_seconds: int) -> DataFrame:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         anchor, total = state.get if state.exists else (None, 0)
-        for at, cost in sorted((int(a), int(c)) for b in batches for a, c in zip(b["at"], b["cost"])):
+        for at, cost in _ordered(batches, "at", "cost"):
+            at, cost = int(at), int(cost)
             if anchor is None or at - anchor >= span:
                 anchor, total = at, cost
             else:
                 total += cost
+        if anchor is None:
+            return
         state.update((anchor, total))
         yield pd.DataFrame({"user_id": [key[0]], "anchor": [anchor], "total": [total]})
 
@@ -42,7 +54,8 @@ def replay_check(stream: DataFrame) -> DataFrame:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         latest, applied, ignored, gaps = state.get if state.exists else (-1, 0, 0, 0)
-        for _, seq in sorted((int(r), int(s)) for b in batches for r, s in zip(b["received"], b["seq"])):
+        for _, seq in _ordered(batches, "received", "seq"):
+            seq = int(seq)
             if seq <= latest:
                 ignored += 1
             elif seq == latest + 1:
@@ -64,10 +77,10 @@ def sticky(stream: DataFrame, ttl_seconds: int) -> DataFrame:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         choice, until = state.get if state.exists else ("", -1)
-        for at, offered in sorted((int(a), str(c)) for b in batches for a, c in zip(b["at"], b["choice"])):
+        for at, offered in _ordered(batches, "at", "choice"):
             if at >= until:
-                choice = offered
-            until = at + span
+                choice = str(offered)
+            until = int(at) + span
         state.update((choice, until))
         yield pd.DataFrame({"user_id": [key[0]], "choice": [choice], "until": [until]})
 
