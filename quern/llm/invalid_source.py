@@ -2,8 +2,8 @@
 
 Each file's whole token stream goes through the table-driven GLR parser of its
 language in one Arrow pass without a shuffle; the first error that no parse
-survives is reported. Tables are built once per Python worker from the bundled
-grammars, whose size is fixed.
+survives is reported. Tables are built once on the driver from the bundled
+grammars, whose size is fixed, and loaded by the workers.
 
 Defined results: a null content or a language without a grammar is not judged
 (error null, judged false); language is compared without case and outer
@@ -19,28 +19,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import syntax
 from quern.plans.partitioning import spread
 
 _SCHEMA = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("language", pa.string()), ("judged", pa.bool_()), ("line", pa.int32()), ("token", pa.string())])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from quern.llm import syntax
+def _parser(packed: bytes):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = syntax.unpacked(packed)
+        for batch in batches:
+            out: list[list] = [[] for _ in _SCHEMA]
+            for project, path, language, text in zip(*(c.to_pylist() for c in batch.columns)):
+                known = (language or "").strip().lower()
+                judged = known in syntax.LANGUAGES and text is not None
+                error = syntax.first_error(known, text, tables) if judged else None
+                for c, x in zip(out, (project, path, language, judged, error and error[0], error and error[1][:40])):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA)], schema=_SCHEMA)
 
-    for batch in batches:
-        out: list[list] = [[] for _ in _SCHEMA]
-        for project, path, language, text in zip(*(c.to_pylist() for c in batch.columns)):
-            known = (language or "").strip().lower()
-            judged = known in syntax.LANGUAGES and text is not None
-            error = syntax.first_error(known, text) if judged else None
-            for c, x in zip(out, (project, path, language, judged, error and error[0], error and error[1][:40])):
-                c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA)], schema=_SCHEMA)
+    return go
 
 
 def verdicts(files: DataFrame) -> DataFrame:
     """project_id, path, language, judged, line, token: line and token of the first error, null for whole files."""
-    return spread(files.select("project_id", "path", "language", "content")).mapInArrow(_parse, "project_id string, path string, language string, judged boolean, line int, token string")
+    return spread(files.select("project_id", "path", "language", "content")).mapInArrow(_parser(syntax.packed()), "project_id string, path string, language string, judged boolean, line int, token string")
 
 
 def invalid_files(files: DataFrame) -> DataFrame:

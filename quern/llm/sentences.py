@@ -416,20 +416,20 @@ def _inside_line(text: str, i: int, j: int) -> int:
 
 _VISIBLE = re.compile(r"\S")
 _BLANK_OR_END = re.compile(r"[ \t\r\n]")
-_PIECE = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("at", pa.int32()), ("piece", pa.string()), ("fresh", pa.bool_()), ("heading", pa.bool_())])
+_PIECE = pa.schema([("key", pa.int64()), ("no", pa.int32()), ("at", pa.int32()), ("piece", pa.string()), ("fresh", pa.bool_()), ("heading", pa.bool_()), ("doc_id", pa.int64())])
 
 
 def _cutter(size: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for no, (at, piece, fresh, heading) in enumerate(pieces(text, size)):
-                    yield _batch(([doc], [no], [at], [piece], [fresh], [heading]), _PIECE)
+                    yield _batch(([key], [no], [at], [piece], [fresh], [heading], [doc]), _PIECE)
 
     return go
 
 
-_FUNC = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("resets", pa.bool_()), ("ahead", pa.int32()), ("f", pa.list_(pa.list_(pa.int32())))])
+_FUNC = pa.schema([("key", pa.int64()), ("no", pa.int32()), ("resets", pa.bool_()), ("ahead", pa.int32()), ("f", pa.list_(pa.list_(pa.int32())))])
 
 
 def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,10 +481,10 @@ def _scan(rows: pd.DataFrame) -> pd.DataFrame:
         moved[width:] = np.take_along_axis(scan[width:], scan[:-width], axis=1)
         scan, width = moved, width * 2
     state = np.concatenate([[0], scan[:-1, 0]])
-    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "no": rows["no"].to_numpy(), "state": state.astype("int32"), "marks": ahead})
+    return pd.DataFrame({"key": rows["key"].to_numpy(), "no": rows["no"].to_numpy(), "state": state.astype("int32"), "marks": ahead})
 
 
-_EMIT = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("kept", pa.list_(pa.bool_())), ("last", pa.int32())])
+_EMIT = pa.schema([("key", pa.int64()), ("no", pa.int32()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("kept", pa.list_(pa.bool_())), ("last", pa.int32())])
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,13 +500,15 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _long(docs: DataFrame, size: int) -> DataFrame:
-    spread = cut_lineage(docs.mapInArrow(_cutter(size), "doc_id long, no int, at int, piece string, fresh boolean, heading boolean"))
-    functions = spread.mapInArrow(_functions, "doc_id long, no int, resets boolean, ahead int, f array<array<int>>")
-    known = functions.groupBy("doc_id").applyInPandas(_scan, "doc_id long, no int, state int, marks int")
-    emitted = cut_lineage(spread.join(known, ["doc_id", "no"]).select("doc_id", "no", "at", "piece", "fresh", "heading", "state", "marks").mapInArrow(_emit, "doc_id long, no int, starts array<int>, stops array<int>, kept array<boolean>, last int"))
+    # A row's own key, fixed by the checkpoint: documents may share an id or have none.
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
+    cuts = cut_lineage(keyed.mapInArrow(_cutter(size), "key long, no int, at int, piece string, fresh boolean, heading boolean, doc_id long"))
+    functions = cuts.drop("doc_id").mapInArrow(_functions, "key long, no int, resets boolean, ahead int, f array<array<int>>")
+    known = functions.groupBy("key").applyInPandas(_scan, "key long, no int, state int, marks int")
+    emitted = cut_lineage(cuts.join(known, ["key", "no"]).select("key", "no", "at", "piece", "fresh", "heading", "state", "marks").mapInArrow(_emit, "key long, no int, starts array<int>, stops array<int>, kept array<boolean>, last int"))
     # The last sentence of a piece ends before the next cut, in a later piece; only piece summaries take part.
-    ahead = emitted.groupBy("doc_id").applyInPandas(_closings, "doc_id long, no int, close int, before int")
-    rows = emitted.join(ahead, ["doc_id", "no"])
+    ahead = emitted.groupBy("key").applyInPandas(_closings, "key long, no int, close int, before int")
+    rows = emitted.join(ahead, ["key", "no"]).join(cuts.filter("no = 0").select("key", "doc_id"), "key")
     size_ = F.size("starts")
     stops = F.transform(F.sequence(F.lit(0), size_ - 1), lambda i: F.when(i + 1 < size_, F.element_at("stops", i + 2)).otherwise(F.col("close")))
     one = rows.filter(size_ > 0).select("doc_id", F.explode(F.arrays_zip("starts", stops.alias("ends"), "kept")).alias("s"))
@@ -531,7 +533,7 @@ def _closings(rows: pd.DataFrame) -> pd.DataFrame:
         if len(stops):
             first = stops[0]
             nxt = int(first) if first is not None and first == first else (upto[i - 1] if i else None)
-    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "no": rows["no"].to_numpy(), "close": close, "before": np.full(n, -1, dtype=np.int32)})
+    return pd.DataFrame({"key": rows["key"].to_numpy(), "no": rows["no"].to_numpy(), "close": close, "before": np.full(n, -1, dtype=np.int32)})
 
 
 def sentences(docs: DataFrame, size: int = CHUNK) -> DataFrame:

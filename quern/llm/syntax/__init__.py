@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from functools import lru_cache, partial
 
 from quern.llm.syntax import grammars, lexers
@@ -26,6 +27,17 @@ def table(language: str) -> Table:
     return Table(grammar, start)
 
 
+@lru_cache(maxsize=1)
+def packed() -> bytes:
+    """All tables, made once for workers to load; their size is that of the bundled grammars (about 2 MB)."""
+    return pickle.dumps({language: table(language) for language in LANGUAGES}, protocol=pickle.HIGHEST_PROTOCOL)
+
+
+@lru_cache(maxsize=1)
+def unpacked(tables: bytes) -> dict[str, Table]:
+    return pickle.loads(tables)
+
+
 def first_error(language: str, text: str, tables: dict[str, Table] | None = None) -> tuple[int, str] | None:
     """Line and token of the first error that no parse survives; None for a whole file of the language."""
     _, _, lexer, insert = LANGUAGES[language]

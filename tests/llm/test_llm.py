@@ -121,6 +121,14 @@ def test_p2_cases(spark):
     assert rows(invalid_source.invalid_files(df.limit(0))) == set()
 
 
+def test_p2_one_branch_of_a_conditional():
+    """Of #if, #elif and #else only one branch is kept, the first that isn't #if 0."""
+    heads = "#if A\nint f(int a) {\n#elif B\nint f(long a) {\n#else\nint f(char a) {\n#endif\n  return 0;\n}\n"
+    assert not syntax.first_error("c", heads)
+    assert not syntax.first_error("c", heads.replace("#if A", "#if 0"))
+    assert syntax.first_error("c", "#if 0\nint a;\n#elif B\nint = ;\n#else\nint b;\n#endif\n")
+
+
 # ------------------------------------------------------------------ problem 4
 
 
@@ -413,6 +421,14 @@ def test_p10_composition_is_exact(text, size):
     assert int(f[0]) == state
 
 
+def test_p10_long_texts_need_no_id_of_their_own(spark):
+    text = "One is here. Two is “there. Here” too. " * 6 + "Last"
+    other = "Another one. It is long enough to be cut. " * 4
+    df = spark.createDataFrame([(None, text), (1, text), (1, other), (1, text)], "doc_id long, text string")
+    whole = sorted(map(str, sentences.sentences(df).collect()))
+    assert sorted(map(str, sentences.sentences(df, 40).collect())) == whole and len([r for r in whole if "doc_id=None" in r]) * 3 < len(whole)
+
+
 def test_p10_cases(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "One. Two.", 5), (4, "One. Two.", 5), (5, "Long one. " * 20_000, 5), (6, "x" * 200_000, 5)], "doc_id long, text string, char_start int")
     got = sentences.sentences(df)
