@@ -66,3 +66,8 @@ def claim(base: DataFrame, claims: DataFrame, key: list[str], owner: str) -> Dat
     """base with the owner that claims(key, owner) name; claims of unknown keys change nothing, of several on a key the greatest owner counts."""
     one = claims.groupBy(*key).agg(F.max(owner).alias("_owner"))
     return base.join(one, key, "left").withColumn(owner, F.coalesce("_owner", owner)).select(*base.columns)
+
+
+def clear(df: DataFrame) -> DataFrame:
+    """The table without its rows, schema kept; nothing of it is read."""
+    return df.sparkSession.createDataFrame([], df.schema)

@@ -173,6 +173,62 @@ def f15(spark, d):
     return a.select("user_id", F.date_format(start, "yyyy-MM-dd").alias("start"))
 
 
+_LIVE = "time_archived IS NULL AND id IS NOT NULL"
+
+
+@query("join_j27_live_rows", f"SELECT DISTINCT s.project_id, s.id, m.id AS message_id FROM agent_session s JOIN agent_message m ON m.session_id = s.id WHERE s.{_LIVE.replace('AND id', 'AND s.id')}")
+def j27(spark, d):
+    """Rows that aren't archived with the rows that hang on them."""
+    s = table(spark, d, "agent_session").filter(_LIVE).select("project_id", "id").distinct()
+    return s.join(table(spark, d, "agent_message").select(F.col("session_id").alias("id"), F.col("id").alias("message_id")), "id").select("project_id", "id", "message_id").distinct()
+
+
+@query("join_j28_live_rows_second_table", "SELECT DISTINCT s.project_id, o.session_id, o.rollout_slug FROM agent_session s JOIN memory_stage1_output o ON o.session_id = s.id WHERE s.time_archived IS NULL AND o.source_deleted_at IS NULL")
+def j28(spark, d):
+    o = table(spark, d, "memory_stage1_output").filter("source_deleted_at IS NULL").select(F.col("session_id").alias("id"), "rollout_slug")
+    s = table(spark, d, "agent_session").filter("time_archived IS NULL").select("project_id", "id")
+    return s.join(o, "id").select("project_id", F.col("id").alias("session_id"), "rollout_slug").distinct()
+
+
+@query("join_j30_groups_of_a_member", "SELECT DISTINCT c_name, s_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'P'")
+def j30(spark, d):
+    o = orders(spark, d).filter("o_orderstatus = 'P'").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    li = lineitem(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    keys = o.join(li, "o_orderkey").select("c_custkey", "s_suppkey").distinct()
+    return keys.join(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").join(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey").select("c_name", "s_name").distinct()
+
+
+@query("join_j31_member_group_plan", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 0")
+def j31(spark, d):
+    place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
+    return table(spark, d, "customer").filter("c_acctbal > 0").join(place, "c_nationkey").select("c_custkey", "n_name", "r_name")
+
+
+@query("join_j32_group_of_member", "SELECT n_name, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal >= 0")
+def j32(spark, d):
+    s = table(spark, d, "supplier").filter("s_acctbal >= 0").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    return table(spark, d, "nation").join(s, "n_nationkey").select("n_name", "s_suppkey")
+
+
+@query("join_j33_left_identity", "SELECT s_suppkey, c_name FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey AND c_mktsegment = 'MACHINERY'")
+def j33(spark, d):
+    c = table(spark, d, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("s_suppkey"), "c_name")
+    return table(spark, d, "supplier").join(c, "s_suppkey", "left").select("s_suppkey", "c_name")
+
+
+@query("join_j34_exists", "SELECT n_nationkey, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0) AS found FROM nation")
+def j34(spark, d):
+    hit = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey")).distinct().withColumn("hit", F.lit(True))
+    return table(spark, d, "nation").join(hit, "n_nationkey", "left").select("n_nationkey", F.coalesce("hit", F.lit(False)).alias("found"))
+
+
+@query("join_j35_invitee", "SELECT c_custkey, s_suppkey, n_name FROM customer JOIN supplier ON s_suppkey = c_custkey JOIN nation ON n_nationkey = 3 WHERE c_nationkey = 3")
+def j35(spark, d):
+    """The join on a constant is an equi-join on that constant's column, of one row."""
+    c = table(spark, d, "customer").filter("c_nationkey = 3").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_suppkey"), "c_custkey")
+    return c.join(table(spark, d, "nation").filter("n_nationkey = 3"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "s_suppkey", "n_name")
+
+
 @query("search_u4_merged_filters", f"WITH {_N} SELECT id FROM nodes WHERE kind IN ('class', 'field', 'function')")
 def u4(spark, d):
     """Kinds written in the query beside those of the options."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -247,16 +248,35 @@ def d7(spark, d):
     return events(spark, d).select("user_id", "event_type").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("used"))
 
 
-@query("tables_d8_scope_reset", "SELECT 'orders' AS t, count(*) AS deleted FROM orders WHERE o_custkey % 10 = 0 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey % 10 = 0")
+@query("tables_d8_scope_reset", """WITH c AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT o_orderkey, o_custkey IN (FROM c) AS gone FROM orders), l AS (SELECT coalesce(gone, false) AS gone FROM lineitem LEFT JOIN o ON l_orderkey = o_orderkey)
+SELECT 'customer' AS t, count(*) FILTER (c_mktsegment IS NOT DISTINCT FROM 'BUILDING') AS deleted, count(*) FILTER (c_mktsegment IS DISTINCT FROM 'BUILDING') AS remaining FROM customer
+UNION ALL SELECT 'orders', count(*) FILTER (gone), count(*) FILTER (NOT gone) FROM o UNION ALL SELECT 'lineitem', count(*) FILTER (gone), count(*) FILTER (NOT gone) FROM l""")
 def d8(spark, d):
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias("deleted")).select(F.lit(name).alias("t"), "deleted")
-    return n(orders(spark, d).filter("o_custkey % 10 = 0"), "orders").unionByName(n(table(spark, d, "customer").filter("c_custkey % 10 = 0"), "customer"))
-
-
-@query("tables_d9_clear", "SELECT n_nationkey FROM nation WHERE false")
+    """A segment's customers go with their orders and lines; what each table loses and keeps."""
+    c = table(spark, d, "customer")
+    scope = c.filter("c_mktsegment = 'BUILDING'")
+    o, li = orders(spark, d), lineitem(spark, d)
+    gone = o.join(scope.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    steps = [("customer", c, scope, "c_custkey"), ("orders", o, gone, "o_orderkey"), ("lineitem", li, gone.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")]
+    parts = []
+    for name, rows, keys, key in steps:
+        left = keyed.remove(rows, keys, [key])
+        both = rows.select(F.lit(1).alias("n"), F.lit(0).alias("kept")).unionByName(left.select(F.lit(0).alias("n"), F.lit(1).alias("kept")))
+        parts.append(both.agg(F.coalesce(F.sum("n") - F.sum("kept"), F.lit(0)).alias("deleted"), F.coalesce(F.sum("kept"), F.lit(0)).alias("remaining")).select(F.lit(name).alias("t"), "deleted", "remaining"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("tables_d9_clear", "SELECT 'nation' AS t, count(*) AS deleted, 0 AS remaining FROM nation UNION ALL SELECT 'supplier', count(*), 0 FROM supplier")
 def d9(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey")
-    return keyed.remove(n, n, ["n_nationkey"])
+    """Tables written, cleared with their schema kept, and read again."""
+    parts = []
+    for name in ("nation", "supplier"):
+        rows, folder = table(spark, d, name), _scratch(spark)
+        keyed.clear(rows).write.parquet(folder)
+        left = spark.read.parquet(folder)
+        assert left.schema == rows.schema or left.columns == rows.columns
+        parts.append(rows.agg(F.count(F.lit(1)).alias("deleted")).join(F.broadcast(left.agg(F.count(F.lit(1)).cast("int").alias("remaining")))).select(F.lit(name).alias("t"), "deleted", "remaining"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("tables_d10_metadata_upsert", "SELECT event_type AS key, max_by(event_id, event_id) AS value FROM events GROUP BY 1")
