@@ -75,11 +75,21 @@ def by_path(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def by_qualified(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Tier of qualified names: the only symbol of it (.95), else one whose qualified name ends so (.85)."""
-    asked = refs.filter(F.contains("name", F.lit("::")) | F.contains("name", F.lit("."))).withColumn("last", F.regexp_extract("name", r"([^:.]+)$", 1))
-    met = asked.join(symbols.select("id", F.col("name").alias("last"), "qualified_name"), "last")
-    exact, ends = F.col("qualified_name") == F.col("name"), F.endswith("qualified_name", F.concat(F.lit("::"), "name"))
-    one = met.groupBy("ref_id").agg(F.count(F.when(exact, 1)).alias("n"), F.min(F.when(exact, F.col("id"))).alias("a"), F.min(F.when(ends, F.col("id"))).alias("b"))
+    """Tier of qualified names: the only symbol of it (.95), else one whose qualified name ends so (.85).
+
+    Symbols are reduced to one row per qualified name and per tail of it before the join, which is on the whole name, so
+    a reference meets one row at most, whatever the number of symbols of its last word.
+    """
+    asked = refs.filter(F.contains("name", F.lit("::")) | F.contains("name", F.lit("."))).select("ref_id", "name", F.regexp_extract("name", r"([^:.]+)$", 1).alias("last"))
+    alike = symbols.groupBy(F.col("name").alias("last"), "qualified_name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    # What follows each '::', cut behind every one, also where they overlap; only a tail that is qualified itself can be asked for.
+    pieces = F.split("qualified_name", "(?<=::)")
+    tails = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), ""))
+    tails = F.filter(tails, lambda t: F.contains(t, F.lit("::")) | F.contains(t, F.lit(".")))
+    ends = alike.filter(F.size(pieces) > 1).select("last", F.explode(tails).alias("name"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("a"), F.col("id").alias("b"))
+    known = alike.select("last", F.col("qualified_name").alias("name"), "n", F.col("id").cast("string").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(ends)
+    known = known.groupBy("last", "name").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))
+    one = asked.join(known, ["last", "name"]).groupBy("ref_id").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"))
     sole = F.col("n") == 1
     return one.select("ref_id", F.when(sole, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(sole, 0.95).otherwise(0.85).alias("confidence"), F.lit("qualified-name").alias("by")).filter("id IS NOT NULL")
 

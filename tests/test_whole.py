@@ -1,6 +1,7 @@
 """Queries over whole tables: no row is thinned away, results agree with brute force."""
 
 import collections
+import random
 import re
 
 import pyarrow as pa
@@ -122,3 +123,43 @@ def test_imports_find_their_files(spark):
     refs = spark.createDataFrame([("p", *a) for a in asked], "project_id string, path string, language string, name string")
     got = {(r["name"], r["target"]) for r in resolve.import_targets(refs, known).collect()}
     assert got == {("./util", "src/a/util.ts"), ("../lib", "src/lib/index.ts"), ("../x.js", "src/x.js"), (".two", "pkg/mod/two.py"), ("pkg.mod.two", "pkg/mod/two.py"), ("pkg", "pkg/__init__.py"), ("..mod.two", "pkg/mod/two.py"), ("b.h", "inc/b.h")}
+
+
+def joined(df):
+    """The most rows that a join of df gave when it was collected."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().get("numOutputRows").get().value() if "Join" in kind else 0
+        return max([own, *map(walk, below)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def alike_parts(folder, n):
+    """A part table of n rows of one name, type and brand."""
+    part = load("part")[0]
+    pq.write_table(pa.Table.from_pylist([part | {"p_partkey": k, "p_size": k % 50 + 1} for k in range(n)], pq.read_schema(f"{SMALL}/part.parquet")), folder / "part.parquet")
+    return str(folder)
+
+
+def test_e4_one_name_makes_no_pairs(spark, tmp_path):
+    df = entry.queries()["resolve_e4_qualified"](spark, alike_parts(tmp_path, 1000))
+    assert df.collect() == [] and joined(df) <= 2000
+
+
+def test_e4_agrees_with_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab:::.") for _ in range(rng.randint(1, 8)))
+    last = lambda name: re.search(r"[^:.]*\Z", name)[0]
+    symbols = [(f"s{i:03}", last(q) if i % 9 else "a", q) for i, q in enumerate(word() for _ in range(500))] + [("n1", None, "a::b"), ("n2", "b", None), ("n3", "x", "a:::x"), ("n4", "x", "b::c::x"), ("n5", "x", "c::x"), ("n6", "x", "c::x")]
+    refs = [(f"r{i:03}", word()) for i in range(500)] + [("x1", ":x"), ("x2", "c::x"), ("x3", "b::c::x"), ("x4", None), ("x5", "a::b"), ("x5", "a::b")]
+    want = {}
+    for ref in {r for r, _ in refs}:
+        met = [(i, q == name, q.endswith("::" + name)) for r, name in refs if r == ref and name and ("::" in name or "." in name) for i, n, q in symbols if n == last(name) and q is not None]
+        exact, ends = [i for i, e, _ in met if e], [i for i, _, e in met if e]
+        if len(exact) == 1 or ends:
+            want[ref] = (exact[0], 0.95) if len(exact) == 1 else (min(ends), 0.85)
+    got = resolve.by_qualified(spark.createDataFrame(refs, "ref_id string, name string"), spark.createDataFrame(symbols, "id string, name string, qualified_name string")).collect()
+    assert {r.ref_id: (r.id, r.confidence) for r in got} == want and len(got) == len(want)
+    assert {c for _, c in want.values()} == {0.95, 0.85} and want["x2"] == ("n4", 0.85)
