@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.checkpoints import cut
+
 CALLABLE = ("function", "method")
 TYPES = ("class", "struct", "interface")
 
@@ -42,27 +44,48 @@ def best_match(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
     refs: ref_id, name, file_path, language, kind, line; symbols: id, name, file_path, language, kind, is_exported, start_line.
     """
+    return _best(refs, symbols).select("ref_id", "id", "score", "shared", "n")
+
+
+def _best(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """best_match with own: whether the languages are equal.
+
+    Only references and candidates that differ in what gives points meet, each kind of reference once.
+    """
     group = F.when(F.col("kind").isin(*CALLABLE), "callable").when(F.col("kind").isin("class", "interface"), "type").when(F.col("kind") == "struct", "struct").otherwise("other")
     sample = {"callable": "function", "type": "class", "struct": "struct", "other": "other"}
-    named = symbols.join(refs.select("name").distinct(), "name", "left_semi")
+    named = symbols.join(refs.select("name").distinct(), "name", "left_semi").withColumn("group", group)
+    kind = F.coalesce(*[F.when(F.col("group") == g, F.lit(k)) for g, k in sample.items()])
+    own = F.col("language") == F.col("s_language")
+    language = F.when(own, 50).otherwise(-80)
+    exported = F.when(F.col("exported"), 10).otherwise(0)
+    # Of a candidate that is met by several prefixes the longest gives the most, of equal scores the least id is kept.
+    least = lambda points, shared: F.min(F.struct((-points.cast("double")).alias("s"), "id", (-shared).alias("h"), own.alias("own")))
     # The best of each (name, prefix, language, group): exported before not, then the least id.
-    far = named.withColumn("prefix", F.explode(prefixes(F.col("file_path")))).withColumn("group", group).groupBy("name", "prefix", "language", "group").agg(F.min(F.struct((~F.col("is_exported")).alias("hidden"), "id")).alias("best"))
+    far = named.withColumn("prefix", F.explode(prefixes(F.col("file_path")))).groupBy("name", "prefix", "language", "group").agg(F.min(F.struct((~F.col("is_exported")).alias("hidden"), "id")).alias("best"))
     far = far.select("name", "prefix", F.col("language").alias("s_language"), "group", F.col("best.id").alias("id"), (~F.col("best.hidden")).alias("exported"))
-    places = refs.withColumn("prefix", F.explode(prefixes(F.col("file_path"))))
-    kind = F.coalesce(*[F.when(F.col("group") == g, F.lit(k)) for g, k in sample.items()])
-    language = F.when(F.col("language") == F.col("s_language"), 50).otherwise(-80)
+    place = refs.withColumn("places", prefixes(F.col("file_path")))
     shared = F.when(F.col("prefix") == "", 0).otherwise(F.size(F.split("prefix", "/")))
-    apart = places.join(far, ["name", "prefix"]).select("ref_id", "id", shared.alias("shared"), (proximity(shared) + language + kind_points(F.col("kind"), kind) + F.when(F.col("exported"), 10).otherwise(0)).cast("double").alias("score"))
-    # Candidates in the reference's own file, of which there are few, get their points one by one.
-    near = refs.alias("r").join(named.alias("s"), ["name", "file_path"])
-    close = F.greatest(F.lit(0.0), 20 - F.abs(F.col("s.start_line") - F.col("r.line")) / 10)
+    apart = place.select("name", "places", "language", "kind").distinct().withColumn("prefix", F.explode("places")).join(far, ["name", "prefix"])
+    apart = apart.groupBy("name", "places", "language", "kind").agg(least(proximity(shared) + language + kind_points(F.col("kind"), kind) + exported, shared).alias("far"))
+    apart = apart.join(named.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name")
+    # Candidates in the reference's own file get their points by line, at most one of each line, language, group and visibility.
+    lines = named.groupBy("name", "file_path", F.col("language").alias("s_language"), "group", F.col("is_exported").alias("exported"), "start_line").agg(F.min("id").alias("id"))
+    close = F.greatest(F.lit(0.0), 20 - F.abs(F.col("start_line") - F.col("line")) / 10)
     own_dirs = F.size(directories(F.col("file_path")))
-    points = 100 + proximity(own_dirs) + F.when(F.col("r.language") == F.col("s.language"), 50).otherwise(-80) + kind_points(F.col("r.kind"), F.col("s.kind")) + F.when(F.col("s.is_exported"), 10).otherwise(0) + F.when(F.col("s.start_line") > 0, close).otherwise(0.0)
-    beside = near.select("ref_id", F.col("s.id").alias("id"), own_dirs.alias("shared"), points.cast("double").alias("score"))
-    count = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    # Of a candidate that is met by several prefixes the longest gives the most, of equal scores the least id is kept.
-    best = apart.unionByName(beside).groupBy("ref_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", (-F.col("shared")).alias("h"))).alias("m")).select("ref_id", F.col("m.id").alias("id"), (-F.col("m.s")).alias("score"), (-F.col("m.h")).alias("shared"))
-    return best.join(refs.select("ref_id", "name"), "ref_id").join(count, "name").select("ref_id", "id", "score", "shared", "n")
+    points = 100 + proximity(own_dirs) + language + kind_points(F.col("kind"), kind) + exported + F.when(F.col("start_line") > 0, close).otherwise(0.0)
+    asked = ["name", "file_path", "language", "kind", "line"]
+    beside = refs.select(*asked).distinct().join(lines, ["name", "file_path"]).groupBy(*asked).agg(least(points, own_dirs).alias("near"))
+    met = _join(_join(place, apart, ["name", "places"], ["language", "kind"]), beside, ["name", "file_path"], ["language", "kind", "line"], "left")
+    best = met.groupBy("ref_id").agg(F.min(F.least("far", "near")).alias("m"), F.sum("n").alias("n"))
+    return best.select("ref_id", F.col("m.id").alias("id"), (-F.col("m.s")).alias("score"), (-F.col("m.h")).alias("shared"), "n", F.col("m.own").alias("own"))
+
+
+def _join(rows: DataFrame, other: DataFrame, on: list[str], nullable: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of other on equal keys, among which those of nullable are also equal if both are null."""
+    other = other.withColumnsRenamed({c: f"_{c}" for c in on + nullable})
+    cond = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in on] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in nullable])
+    return rows.join(other, cond, how).drop(*[f"_{c}" for c in on + nullable])
 
 
 def by_path(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -111,44 +134,52 @@ def by_method(refs: DataFrame, symbols: DataFrame) -> DataFrame:
         refs = refs if c in refs.columns else refs.withColumn(c, F.lit(None).cast("string"))
     form = r"^(\w+)(\.|::)(\w+)$"
     part = lambda i: F.regexp_extract("name", form, i)
-    typed = F.when(part(2) == ".", F.col("receiver_type"))
-    asked = refs.filter(F.col("name").rlike(form)).select("ref_id", "language", part(1).alias("receiver"), part(3).alias("method"), typed.alias("type"), "receiver_import")
+    of_dot = F.when(part(2) == ".", F.col("receiver_type"))
+    asked = refs.filter(F.col("name").rlike(form)).select("ref_id", "language", part(1).alias("receiver"), part(3).alias("method"), of_dot.alias("type"), "receiver_import")
     capital = F.concat(F.upper(F.substring("receiver", 1, 1)), F.expr("substring(receiver, 2)"))
     methods = symbols.filter("kind = 'method'").select(F.col("id").alias("m_id"), F.col("name").alias("method"), "qualified_name", "file_path", F.col("language").alias("m_language")).join(asked.select("method").distinct(), "method", "left_semi")
-    hit = lambda df, id_, no, confidence, by: df.select("ref_id", F.lit(no).alias("step"), id_.alias("id"), F.lit(confidence).alias("confidence"), F.lit(by).alias("by"))
     # 1: the type's own method; of several the one in the file that the import names.
     of_type = methods.select("m_id", "method", "file_path", F.col("m_language").alias("language"), F.regexp_extract("qualified_name", r"(?:^|::)([^:]+)::[^:]+$", 1).alias("type"), F.regexp_extract("qualified_name", "([^:]+)$", 1).alias("own")).filter("own = method")
+    of_type = of_type.groupBy("type", "method", "language", "file_path").agg(F.min("m_id").alias("m_id"))
     path = F.concat(F.replace("receiver_import", F.lit("."), F.lit("/")), F.when(F.col("language") == "kotlin", ".kt").otherwise(".java"))
-    told = asked.filter("type IS NOT NULL").join(of_type, ["type", "method", "language"]).groupBy("ref_id").agg(F.coalesce(F.min(F.when(F.endswith("file_path", path), F.col("m_id"))), F.min("m_id")).alias("id"))
-    # 2, 3: methods in the file of a class whose qualified name holds the class's, reduced to one per class name before the join.
-    classes = symbols.filter(F.col("kind").isin(*TYPES)).select(F.col("id").alias("c_id"), F.col("name").alias("class"), "file_path", "language")
-    classes = classes.join(asked.select(F.explode(F.array("receiver", capital)).alias("class")).distinct(), "class", "left_semi")
-    members = classes.join(methods, "file_path").filter(F.contains("qualified_name", F.col("class"))).groupBy("class", "language", "method").agg(F.min(F.struct("c_id", "m_id"))["m_id"].alias("id"))
-    named = asked.withColumn("class", F.col("receiver")).join(members, ["class", "language", "method"])
-    raised = asked.withColumn("class", capital).filter("class <> receiver").join(members, ["class", "language", "method"])
+    typed = asked.filter("type IS NOT NULL")
+    imports = typed.select("type", "method", "language", "receiver_import").distinct().join(of_type, ["type", "method", "language"])
+    imports = imports.groupBy("type", "method", "language", "receiver_import").agg(F.min(F.when(F.endswith("file_path", path), F.col("m_id"))).alias("a"), F.min("m_id").alias("b"))
+    told = _join(typed, imports, ["type", "method", "language"], ["receiver_import"]).groupBy("ref_id").agg(F.coalesce(F.min("a"), F.min("b")).alias("id"))
+    # The other steps don't ask for more than receiver, method and language, so each call so written is looked up once.
+    call = ["receiver", "method", "language"]
+    calls = asked.select(*call).distinct()
+    # 2, 3: methods in the file of a class whose qualified name holds the class's; a file's classes of one name count once, as do its methods of one.
+    classes = symbols.filter(F.col("kind").isin(*TYPES)).groupBy(F.col("name").alias("class"), "file_path", "language").agg(F.min("id").alias("c_id"))
+    classes = classes.join(calls.select(F.explode(F.array("receiver", capital)).alias("class")).distinct(), "class", "left_semi")
+    own = methods.groupBy("file_path", "method", "qualified_name").agg(F.min("m_id").alias("m_id"))
+    members = classes.join(own, "file_path").filter(F.contains("qualified_name", F.col("class"))).groupBy("class", "language", "method").agg(F.min(F.struct("c_id", "m_id"))["m_id"].alias("id"))
+    named = calls.select(*call, F.posexplode(F.array_distinct(F.array("receiver", capital))).alias("no", "class")).join(members, ["class", "language", "method"])
     # 4: the only one of the language.
     per = methods.groupBy("method", F.col("m_language").alias("language")).agg(F.count(F.lit(1)).alias("n"), F.min("m_id").alias("id"))
-    only = asked.join(per.filter("n = 1"), ["method", "language"])
+    only = calls.join(per.filter("n = 1"), ["method", "language"])
     # 5: a match shares a word at least, so methods meet on words; alike ones are reduced to the least id.
     alike = methods.groupBy("method", "m_language", F.array_sort(F.array_distinct(words(F.col("qualified_name")))).alias("ws")).agg(F.min("m_id").alias("m_id"))
-    said = asked.select("ref_id", "language", "method", F.explode(words(F.col("receiver"))).alias("word"))
+    said = calls.select(*call, F.explode(words(F.col("receiver"))).alias("word"))
     score = F.count(F.lit(1)) + F.max(F.when(F.col("language") == F.col("m_language"), 1).otherwise(0))
-    met = said.join(alike.withColumn("word", F.explode("ws")), ["method", "word"]).groupBy("ref_id", "method", "language", "m_language", "m_id").agg(score.alias("score"))
+    met = said.join(alike.withColumn("word", F.explode("ws")), ["method", "word"]).groupBy(*call, "m_language", "m_id").agg(score.alias("score"))
     # Methods of other languages count only where the language has none, and then only if there are several.
     count = methods.groupBy("method").agg(F.count(F.lit(1)).alias("every"))
     open_ = met.join(per.select("method", "language", "n"), ["method", "language"], "left").join(count, "method").filter("score >= 2 AND every > 1 AND (n IS NULL OR m_language = language)")
-    most = open_.groupBy("ref_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "m_id"))["m_id"].alias("id"))
-    id_, steps = F.col("id"), []
-    for no, (df, confidence, by) in enumerate([(told, 0.9, "instance-method"), (named, 0.85, "qualified-name"), (raised, 0.8, "instance-method"), (only, 0.7, "instance-method"), (most, 0.65, "instance-method")]):
-        steps.append(hit(df, id_, no, confidence, by))
-    best = reduce(DataFrame.unionByName, steps).groupBy("ref_id").agg(F.min(F.struct("step", "id", "confidence", "by")).alias("m"))
+    most = open_.groupBy(*call).agg(F.min(F.struct((-F.col("score")).alias("s"), "m_id"))["m_id"].alias("id"))
+    hit = lambda df, keys, no, confidence, by: df.select(*keys, F.struct(F.lit(no).alias("step"), F.col("id"), F.lit(confidence).alias("confidence"), F.lit(by).alias("by")).alias("m"))
+    steps = [hit(df, call, no, confidence, by) for no, (df, confidence, by) in enumerate([(named.filter("no = 0"), 0.85, "qualified-name"), (named.filter("no = 1"), 0.8, "instance-method"), (only, 0.7, "instance-method"), (most, 0.65, "instance-method")], 1)]
+    # Cut, since the driver would hold the plan of all steps and tiers at once.
+    found = cut(reduce(DataFrame.unionByName, steps).groupBy(*call).agg(F.min("m").alias("m")))
+    rest = _join(asked, found, ["receiver", "method"], ["language"]).select("ref_id", "m")
+    best = hit(told, ["ref_id"], 0, 0.9, "instance-method").unionByName(rest).groupBy("ref_id").agg(F.min("m").alias("m"))
     return best.select("ref_id", "m.id", "m.confidence", "m.by")
 
 
 def by_name(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Tier of exact names: the only one (.9, .5 across languages), else the best (.7 if near, .4 if not)."""
-    best = best_match(refs, symbols).join(refs.select("ref_id", "language"), "ref_id").join(symbols.select("id", F.col("language").alias("s_language")), "id")
-    sole = F.when(F.col("language") == F.col("s_language"), 0.9).otherwise(0.5)
+    best = _best(refs, symbols)
+    sole = F.when(F.col("own"), 0.9).otherwise(0.5)
     many = F.when(proximity(F.col("shared")) >= 30, 0.7).otherwise(0.4)
     kept = best.filter((F.col("n") == 1) | (F.col("score") > -1))
     return kept.select("ref_id", "id", F.when(F.col("n") == 1, sole).otherwise(many).alias("confidence"), F.lit("exact-match").alias("by"))

@@ -32,10 +32,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC,
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
+    return _symbols(table(spark, d, "part"))
+
+
+def _symbols(parts: DataFrame, *more) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
-    return table(spark, d, "part").select(
+    return parts.select(
         F.concat(F.lit("p"), k.cast("string")).alias("id"), F.col("p_name").alias("name"), F.concat("p_type", F.lit("::"), "p_name").alias("qualified_name"), F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), "p_brand", F.lit(".ts")).alias("file_path"),
-        F.element_at(F.array(*map(F.lit, LANGUAGE)), (k % 3 + 1).cast("int")).alias("language"), F.element_at(F.array(*map(F.lit, ("function", "class", "struct", "field"))), size % 4 + 1).alias("kind"), (k % 2 == 0).alias("is_exported"), (k % 1000).cast("int").alias("start_line"),
+        F.element_at(F.array(*map(F.lit, LANGUAGE)), (k % 3 + 1).cast("int")).alias("language"), F.element_at(F.array(*map(F.lit, ("function", "class", "struct", "field"))), size % 4 + 1).alias("kind"), (k % 2 == 0).alias("is_exported"), (k % 1000).cast("int").alias("start_line"), *more,
     )
 
 
@@ -94,8 +98,10 @@ def _ladder(spark, d):
     """The ladder over the parts' symbols and references, with methods of the brands as classes and dotted references to them."""
     p, k, size = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
     brand, step = F.replace("p_brand", F.lit("#"), F.lit("")), F.concat(F.lit("step"), size.cast("string"))
-    row = lambda mark, name, qualified, kind: p.select(F.concat(F.lit(mark), k.cast("string")).alias("id"), name.alias("name"), qualified.alias("qualified_name"), F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), "p_brand", F.lit(".ts")).alias("file_path"), F.element_at(F.array(*map(F.lit, LANGUAGE)), (k % 3 + 1).cast("int")).alias("language"), F.lit(kind).alias("kind"), (k % 2 == 0).alias("is_exported"), (k % 1000).cast("int").alias("start_line"))
-    sym = symbols(spark, d).unionByName(row("m", step, F.concat(brand, F.lit("::"), step), "method")).unionByName(row("k", brand, brand, "class"))
+    # One pass gives a part's three symbols: itself, its method and the brand's class.
+    of = lambda own, method, class_: F.when(F.col("mark") == "p", own).when(F.col("mark") == "m", method).otherwise(class_)
+    sym = _symbols(p.withColumn("mark", F.explode(F.array(*map(F.lit, "pmk")))), "mark", brand.alias("brand"), step.alias("step"), k.cast("string").alias("no"))
+    sym = sym.withColumns({"id": F.concat("mark", "no"), "name": of(F.col("name"), F.col("step"), F.col("brand")), "qualified_name": of(F.col("qualified_name"), F.concat("brand", F.lit("::"), "step"), F.col("brand")), "kind": of(F.col("kind"), F.lit("method"), F.lit("class"))}).drop("mark", "brand", "step", "no")
     receiver = F.element_at(F.array(brand, F.lower(brand), F.concat(F.lit("my"), brand), F.lit("it")), (k % 4 + 1).cast("int"))
     dotted = p.withColumn("name", F.concat(receiver, F.lit("."), step)).select(F.concat(F.lit("d"), k.cast("string")).alias("ref_id"), "name", F.lit("src/main.ts").alias("file_path"), F.element_at(F.array(*map(F.lit, LANGUAGE)), (k % 3 + 1).cast("int")).alias("language"), F.lit("calls").alias("kind"), size.alias("line"), F.when(k % 4 == 3, brand).alias("receiver_type"))
     return resolve.resolve(refs(spark, d).unionByName(dotted, allowMissingColumns=True), sym)

@@ -163,3 +163,12 @@ def test_e4_agrees_with_brute_force(spark):
     got = resolve.by_qualified(spark.createDataFrame(refs, "ref_id string, name string"), spark.createDataFrame(symbols, "id string, name string, qualified_name string")).collect()
     assert {r.ref_id: (r.id, r.confidence) for r in got} == want and len(got) == len(want)
     assert {c for _, c in want.values()} == {0.95, 0.85} and want["x2"] == ("n4", 0.85)
+
+
+def test_a26_one_name_makes_no_pairs(spark, tmp_path):
+    n = 1000
+    df = entry.queries()["resolve_a26_by_method"](spark, alike_parts(tmp_path, n))
+    got = {r.by: r.n for r in df.collect()}
+    # Every part is a reference by name and one by a method, and all are found.
+    assert sum(got.values()) == 2 * n and got["exact-match"] == n
+    assert joined(df) <= 60 * n
