@@ -172,3 +172,10 @@ def test_a26_one_name_makes_no_pairs(spark, tmp_path):
     # Every part is a reference by name and one by a method, and all are found.
     assert sum(got.values()) == 2 * n and got["exact-match"] == n
     assert joined(df) <= 60 * n
+
+
+def test_e1_one_name_makes_no_pairs(spark, tmp_path):
+    n = 1000
+    df = entry.queries()["resolve_e1_ladder"](spark, alike_parts(tmp_path, n))
+    assert {r.ref_id for r in df.collect()} == {f"{mark}{k}" for mark in "rd" for k in range(n)}
+    assert joined(df) <= 60 * n
