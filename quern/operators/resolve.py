@@ -4,6 +4,9 @@ Candidates of a reference are never all paired with it. For names that many
 symbols bear, candidates are reduced to the best one per (name, directory
 prefix, language, callable) before the join, so a reference meets as many rows
 as its path has directories, whatever the number of symbols of its name.
+
+Symbols may have a column times: how many symbols the row stands for, of which
+it has the least id; without it each row is one symbol.
 """
 
 from __future__ import annotations
@@ -17,6 +20,11 @@ from quern.plans.checkpoints import cut
 
 CALLABLE = ("function", "method")
 TYPES = ("class", "struct", "interface")
+# What a reference's hit depends on, besides the symbols, and what all tiers but the lines of by_name ask of a symbol.
+ASKED = ("name", "file_path", "language", "kind", "line", "receiver_type", "receiver_import")
+LOOKED_AT = ("name", "qualified_name", "file_path", "language", "kind", "is_exported")
+# Fixed size of the filter by hashes, which is broadcast.
+SLOTS = 1 << 16
 
 
 def directories(path: Column) -> Column:
@@ -47,11 +55,25 @@ def best_match(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return _best(refs, symbols).select("ref_id", "id", "score", "shared", "n")
 
 
-def _best(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """best_match with own: whether the languages are equal.
+def _counted(symbols: DataFrame) -> DataFrame:
+    return symbols if "times" in symbols.columns else symbols.withColumn("times", F.lit(1))
+
+
+def _near(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """rows without most of those that equal no row of other in on; some of them stay, as only hashes are compared.
+
+    Drops them before the shuffle of a later join, whatever the size of other.
+    """
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
+    return rows.withColumn("_slot", slot).join(F.broadcast(other.select(slot.alias("_slot")).distinct()), "_slot", "left_semi").drop("_slot")
+
+
+def _best(refs: DataFrame, symbols: DataFrame, lined: DataFrame | None = None) -> DataFrame:
+    """best_match with own: whether the languages are equal. lined: the symbols with their lines, if symbols has them without.
 
     Only references and candidates that differ in what gives points meet, each kind of reference once.
     """
+    symbols, lined = _counted(symbols), symbols if lined is None else lined
     group = F.when(F.col("kind").isin(*CALLABLE), "callable").when(F.col("kind").isin("class", "interface"), "type").when(F.col("kind") == "struct", "struct").otherwise("other")
     sample = {"callable": "function", "type": "class", "struct": "struct", "other": "other"}
     named = symbols.join(refs.select("name").distinct(), "name", "left_semi").withColumn("group", group)
@@ -68,14 +90,19 @@ def _best(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     shared = F.when(F.col("prefix") == "", 0).otherwise(F.size(F.split("prefix", "/")))
     apart = place.select("name", "places", "language", "kind").distinct().withColumn("prefix", F.explode("places")).join(far, ["name", "prefix"])
     apart = apart.groupBy("name", "places", "language", "kind").agg(least(proximity(shared) + language + kind_points(F.col("kind"), kind) + exported, shared).alias("far"))
-    apart = apart.join(named.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name")
+    apart = apart.join(named.groupBy("name").agg(F.sum("times").alias("n")), "name")
     # Candidates in the reference's own file get their points by line, at most one of each line, language, group and visibility.
-    lines = named.groupBy("name", "file_path", F.col("language").alias("s_language"), "group", F.col("is_exported").alias("exported"), "start_line").agg(F.min("id").alias("id"))
+    # There any of its own language beats all others, so it meets either only these or, if there are none, the rest without regard to language.
+    asked = ["name", "file_path", "language", "kind", "line"]
+    every = refs.select(*asked).distinct()
+    lines = _near(lined, every, ["name", "file_path"]).withColumn("s_language", F.explode(F.array(F.struct("language"), F.lit(None).cast("struct<language:string>"))))
+    lines = lines.filter("s_language IS NULL OR language IS NOT NULL").groupBy("name", "file_path", F.col("s_language.language").alias("s_language"), group.alias("group"), F.col("is_exported").alias("exported"), "start_line").agg(F.min("id").alias("id"))
+    spoken = named.select("name", "file_path", "language").filter("language IS NOT NULL").distinct().withColumn("spoken", F.col("language"))
+    every = every.join(spoken, ["name", "file_path", "language"], "left").withColumn("s_language", F.col("spoken")).drop("spoken")
     close = F.greatest(F.lit(0.0), 20 - F.abs(F.col("start_line") - F.col("line")) / 10)
     own_dirs = F.size(directories(F.col("file_path")))
     points = 100 + proximity(own_dirs) + language + kind_points(F.col("kind"), kind) + exported + F.when(F.col("start_line") > 0, close).otherwise(0.0)
-    asked = ["name", "file_path", "language", "kind", "line"]
-    beside = refs.select(*asked).distinct().join(lines, ["name", "file_path"]).groupBy(*asked).agg(least(points, own_dirs).alias("near"))
+    beside = _join(every, lines, ["name", "file_path"], ["s_language"]).groupBy(*asked).agg(least(points, own_dirs).alias("near"))
     met = _join(_join(place, apart, ["name", "places"], ["language", "kind"]), beside, ["name", "file_path"], ["language", "kind", "line"], "left")
     best = met.groupBy("ref_id").agg(F.min(F.least("far", "near")).alias("m"), F.sum("n").alias("n"))
     return best.select("ref_id", F.col("m.id").alias("id"), (-F.col("m.s")).alias("score"), (-F.col("m.h")).alias("shared"), "n", F.col("m.own").alias("own"))
@@ -91,9 +118,9 @@ def _join(rows: DataFrame, other: DataFrame, on: list[str], nullable: list[str],
 def by_path(refs: DataFrame, files: DataFrame) -> DataFrame:
     """Tier of references with a slash: the file itself (.95), one that ends so (.85), the only one of the name (.7)."""
     asked = refs.filter(F.contains("name", F.lit("/"))).withColumn("base", F.substring_index("name", "/", -1)).filter("base <> ''")
-    met = asked.join(files.select(F.col("id"), F.col("name").alias("base"), F.col("file_path").alias("f_path")), "base")
+    met = asked.join(_counted(files).select("id", "times", F.col("name").alias("base"), F.col("file_path").alias("f_path")), "base")
     of = lambda cond: F.min(F.when(cond, F.col("id")))
-    one = met.groupBy("ref_id").agg(of(F.col("f_path") == F.col("name")).alias("a"), of(F.endswith("f_path", F.col("name"))).alias("b"), F.when(F.count(F.lit(1)) == 1, F.min("id")).alias("c"))
+    one = met.groupBy("ref_id").agg(of(F.col("f_path") == F.col("name")).alias("a"), of(F.endswith("f_path", F.col("name"))).alias("b"), F.when(F.sum("times") == 1, F.min("id")).alias("c"))
     return one.select("ref_id", F.coalesce("a", "b", "c").alias("id"), F.when(F.col("a").isNotNull(), 0.95).when(F.col("b").isNotNull(), 0.85).otherwise(0.7).alias("confidence"), F.lit("file-path").alias("by")).filter("id IS NOT NULL")
 
 
@@ -104,7 +131,7 @@ def by_qualified(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     a reference meets one row at most, whatever the number of symbols of its last word.
     """
     asked = refs.filter(F.contains("name", F.lit("::")) | F.contains("name", F.lit("."))).select("ref_id", "name", F.regexp_extract("name", r"([^:.]+)$", 1).alias("last"))
-    alike = symbols.groupBy(F.col("name").alias("last"), "qualified_name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    alike = _counted(symbols).groupBy(F.col("name").alias("last"), "qualified_name").agg(F.sum("times").alias("n"), F.min("id").alias("id"))
     # What follows each '::', cut behind every one, also where they overlap; only a tail that is qualified itself can be asked for.
     pieces = F.split("qualified_name", "(?<=::)")
     tails = F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), ""))
@@ -137,7 +164,7 @@ def by_method(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     of_dot = F.when(part(2) == ".", F.col("receiver_type"))
     asked = refs.filter(F.col("name").rlike(form)).select("ref_id", "language", part(1).alias("receiver"), part(3).alias("method"), of_dot.alias("type"), "receiver_import")
     capital = F.concat(F.upper(F.substring("receiver", 1, 1)), F.expr("substring(receiver, 2)"))
-    methods = symbols.filter("kind = 'method'").select(F.col("id").alias("m_id"), F.col("name").alias("method"), "qualified_name", "file_path", F.col("language").alias("m_language")).join(asked.select("method").distinct(), "method", "left_semi")
+    methods = _counted(symbols).filter("kind = 'method'").select(F.col("id").alias("m_id"), "times", F.col("name").alias("method"), "qualified_name", "file_path", F.col("language").alias("m_language")).join(asked.select("method").distinct(), "method", "left_semi")
     # 1: the type's own method; of several the one in the file that the import names.
     of_type = methods.select("m_id", "method", "file_path", F.col("m_language").alias("language"), F.regexp_extract("qualified_name", r"(?:^|::)([^:]+)::[^:]+$", 1).alias("type"), F.regexp_extract("qualified_name", "([^:]+)$", 1).alias("own")).filter("own = method")
     of_type = of_type.groupBy("type", "method", "language", "file_path").agg(F.min("m_id").alias("m_id"))
@@ -156,7 +183,7 @@ def by_method(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     members = classes.join(own, "file_path").filter(F.contains("qualified_name", F.col("class"))).groupBy("class", "language", "method").agg(F.min(F.struct("c_id", "m_id"))["m_id"].alias("id"))
     named = calls.select(*call, F.posexplode(F.array_distinct(F.array("receiver", capital))).alias("no", "class")).join(members, ["class", "language", "method"])
     # 4: the only one of the language.
-    per = methods.groupBy("method", F.col("m_language").alias("language")).agg(F.count(F.lit(1)).alias("n"), F.min("m_id").alias("id"))
+    per = methods.groupBy("method", F.col("m_language").alias("language")).agg(F.sum("times").alias("n"), F.min("m_id").alias("id"))
     only = calls.join(per.filter("n = 1"), ["method", "language"])
     # 5: a match shares a word at least, so methods meet on words; alike ones are reduced to the least id.
     alike = methods.groupBy("method", "m_language", F.array_sort(F.array_distinct(words(F.col("qualified_name")))).alias("ws")).agg(F.min("m_id").alias("m_id"))
@@ -164,7 +191,7 @@ def by_method(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     score = F.count(F.lit(1)) + F.max(F.when(F.col("language") == F.col("m_language"), 1).otherwise(0))
     met = said.join(alike.withColumn("word", F.explode("ws")), ["method", "word"]).groupBy(*call, "m_language", "m_id").agg(score.alias("score"))
     # Methods of other languages count only where the language has none, and then only if there are several.
-    count = methods.groupBy("method").agg(F.count(F.lit(1)).alias("every"))
+    count = methods.groupBy("method").agg(F.sum("times").alias("every"))
     open_ = met.join(per.select("method", "language", "n"), ["method", "language"], "left").join(count, "method").filter("score >= 2 AND every > 1 AND (n IS NULL OR m_language = language)")
     most = open_.groupBy(*call).agg(F.min(F.struct((-F.col("score")).alias("s"), "m_id"))["m_id"].alias("id"))
     hit = lambda df, keys, no, confidence, by: df.select(*keys, F.struct(F.lit(no).alias("step"), F.col("id"), F.lit(confidence).alias("confidence"), F.lit(by).alias("by")).alias("m"))
@@ -176,9 +203,9 @@ def by_method(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return best.select("ref_id", "m.id", "m.confidence", "m.by")
 
 
-def by_name(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Tier of exact names: the only one (.9, .5 across languages), else the best (.7 if near, .4 if not)."""
-    best = _best(refs, symbols)
+def by_name(refs: DataFrame, symbols: DataFrame, lined: DataFrame | None = None) -> DataFrame:
+    """Tier of exact names: the only one (.9, .5 across languages), else the best (.7 if near, .4 if not). lined: as for _best."""
+    best = _best(refs, symbols, lined)
     sole = F.when(F.col("own"), 0.9).otherwise(0.5)
     many = F.when(proximity(F.col("shared")) >= 30, 0.7).otherwise(0.4)
     kept = best.filter((F.col("n") == 1) | (F.col("score") > -1))
@@ -187,9 +214,9 @@ def by_name(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def by_lower_name(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Tier of names without case among callables: the only one of the language (.5), else the only one (.3)."""
-    low = symbols.filter(F.col("kind").isin("function", "method", "class")).select("id", F.lower("name").alias("low"), F.col("language").alias("s_language"))
-    per = low.groupBy("low", "s_language").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    every = low.groupBy("low").agg(F.count(F.lit(1)).alias("every_n"), F.min("id").alias("every_id"))
+    low = _counted(symbols).filter(F.col("kind").isin("function", "method", "class")).select("id", "times", F.lower("name").alias("low"), F.col("language").alias("s_language"))
+    per = low.groupBy("low", "s_language").agg(F.sum("times").alias("n"), F.min("id").alias("id"))
+    every = low.groupBy("low").agg(F.sum("times").alias("every_n"), F.min("id").alias("every_id"))
     asked = refs.select("ref_id", F.lower("name").alias("low"), "language")
     met = asked.join(every, "low").join(per, (asked.low == per.low) & (asked.language == per.s_language), "left")
     own = F.col("n").isNotNull()
@@ -197,10 +224,20 @@ def by_lower_name(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """ref_id, id, confidence, by: the hit of the first tier that has one."""
-    tiers = [by_path(refs, symbols.filter("kind = 'file'")), by_qualified(refs, symbols), by_method(refs, symbols), by_name(refs, symbols), by_lower_name(refs, symbols)]
+    """ref_id, id, confidence, by: the hit of the first tier that has one.
+
+    References that ask for the same go through the tiers once, and symbols alike but for their line are one row. Both
+    are cut, as every tier reads them.
+    """
+    of = [c for c in ASKED if c in refs.columns]
+    asks = cut(refs.select(*of).distinct().withColumn("ref_id", F.monotonically_increasing_id()))
+    alike = cut(_counted(symbols).groupBy(*LOOKED_AT).agg(F.min("id").alias("id"), F.sum("times").alias("times")))
+    tiers = [by_path(asks, alike.filter("kind = 'file'")), by_qualified(asks, alike), by_method(asks, alike), by_name(asks, alike, symbols), by_lower_name(asks, alike)]
     ranked = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
-    return ranked.groupBy("ref_id").agg(F.min(F.struct("tier", "id", "confidence", "by")).alias("m")).select("ref_id", "m.id", "m.confidence", "m.by")
+    first = lambda df: df.groupBy("ref_id").agg(F.min(F.struct("tier", "id", "confidence", "by")).alias("m")).select("ref_id", "m.*")
+    ask = F.struct(*of)  # fields that are both null are equal in structs
+    found = asks.select("ref_id", ask.alias("ask")).join(first(ranked), "ref_id").drop("ref_id")
+    return first(refs.select("ref_id", ask.alias("ask")).join(found.hint("shuffle_hash"), "ask")).drop("tier")
 
 
 def arbitrate(options: DataFrame) -> DataFrame:

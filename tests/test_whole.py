@@ -179,3 +179,48 @@ def test_e1_one_name_makes_no_pairs(spark, tmp_path):
     df = entry.queries()["resolve_e1_ladder"](spark, alike_parts(tmp_path, n))
     assert {r.ref_id for r in df.collect()} == {f"{mark}{k}" for mark in "rd" for k in range(n)}
     assert joined(df) <= 60 * n
+
+
+def test_e1_reads_its_parts_once_for_all_tiers(spark, tmp_path):
+    n = 200
+    df = entry.queries()["resolve_e1_ladder"](spark, alike_parts(tmp_path, n))
+    assert len(df.collect()) == 2 * n
+    # After the cuts: one scan for the symbols' lines, two for the references.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 3
+
+
+def test_ladder_agrees_with_brute_force(spark):
+    """Names without a qualifier: the tiers of exact and of lower names, over symbols and references with alike ones among them."""
+    rng = random.Random(1)
+    path = lambda: rng.choice(["a/b/x.ts", "a/b/y.ts", "a/c/x.ts", "d/x.ts", "x.ts"])
+    language, name = lambda: rng.choice(["ts", "go", "py", None]), lambda: rng.choice(["one", "One", "two", "six", "SIX", None])
+    line = lambda: rng.choice([0, None, *range(-10, 900, 70)])
+    symbols = [(f"s{i}", name(), f"q{i % 3}", path(), language(), rng.choice(["function", "class", "struct", "interface", "field", "method"]), rng.random() < 0.5, line()) for i in range(150)] + [("z1", "lone", "lone", "d/x.ts", "go", "class", True, 3), ("z2", "Late", "Late", "x.ts", "py", "class", True, 3)]
+    refs = [(f"r{i}", rng.choice(["lone", "late", name()]), path(), language(), rng.choice(["calls", "instantiates", "decorates", "uses", None]), line()) for i in range(600)]
+    refs += [(f"c{i}", *r[1:]) for i, r in enumerate(refs[:300])]
+    dirs = lambda p: p.split("/")[:-1]
+
+    def points(r, s):
+        shared = next((i for i, (a, b) in enumerate(zip(dirs(r[2]), dirs(s[3]))) if a != b), min(len(dirs(r[2])), len(dirs(s[3]))))
+        own = r[3] is not None and r[3] == s[4]
+        call, kind = s[5] in ("function", "method"), s[5] in ("class", "interface")
+        by_kind = 25 if r[4] == "calls" and call or r[4] == "instantiates" and (kind or s[5] == "struct") or r[4] == "decorates" and call else 15 if r[4] == "decorates" and kind else 0
+        near = (100 + (max(0.0, 20 - abs(s[7] - r[5]) / 10) if r[5] is not None and s[7] else 0.0) * (s[7] is not None and s[7] > 0)) if r[2] == s[3] else 0
+        return -round(near + min(80, 15 * shared) + (50 if own else -80) + by_kind + (10 if s[6] else 0), 6), s[0], shared, own
+
+    want = {}
+    for r in refs:
+        met = [points(r, s) for s in symbols if r[1] is not None and s[1] == r[1]]
+        score, best, shared, own = min(met, default=(9, None, 0, False))
+        low = [s for s in symbols if r[1] is not None and s[1] is not None and s[1].lower() == r[1].lower() and s[5] in ("function", "method", "class")]
+        of = [s for s in low if r[3] is not None and s[4] == r[3]]
+        if len(met) == 1 or met and -score > -1:
+            want[r[0]] = (best, (0.9 if own else 0.5) if len(met) == 1 else 0.7 if 15 * shared >= 30 else 0.4, "exact-match")
+        elif len(of or low) == 1:
+            want[r[0]] = ((of or low)[0][0], 0.5 if of else 0.3, "fuzzy")
+    asked, known = spark.createDataFrame(refs, "ref_id string, name string, file_path string, language string, kind string, line int"), spark.createDataFrame(symbols, "id string, name string, qualified_name string, file_path string, language string, kind string, is_exported boolean, start_line int")
+    got = resolve.resolve(asked, known).collect()
+    assert {r.ref_id: (r.id, r.confidence, r.by) for r in got} == want and len(got) == len(want)
+    assert {by for _, _, by in want.values()} == {"exact-match", "fuzzy"} and {c for _, c, _ in want.values()} == {0.9, 0.7, 0.5, 0.4, 0.3}
+    best = {r.ref_id: (round(-r.score, 6), r.id) for r in resolve.best_match(asked, known).collect()}
+    assert best == {r[0]: min(points(r, s) for s in symbols if s[1] == r[1])[:2] for r in refs if r[1] in {s[1] for s in symbols} - {None}}
